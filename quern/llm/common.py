@@ -83,5 +83,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = trail[-1].select("node", F.col("to").alias("root"))
     for move in reversed(trail[:-1]):
         far = roots.select(F.col("node").alias("at"), F.col("root").alias("far"))
-        roots = materialise(move.join(far, move.to == far["at"], "left").select("node", F.coalesce("far", "to").alias("root")), "roots")
+        roots = materialise(move.join(far, move["to"] == far["at"], "left").select("node", F.coalesce("far", "to").alias("root")), "roots")
     return roots

@@ -11,12 +11,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quern.llm.url_filter import RULES, url_filter
+
+    # the labelled ids are taken as labels of the pages that carry them
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").otherwise("allow").alias("label"))
+    return url_filter(_table(spark, sf_dir, "pages"), RULES, labels)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.embed_dedup import embedding_near_duplicates
 
     return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.simhash import simhash_near_duplicates
 
@@ -24,7 +46,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_embedding_near_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op7_url_filter, op8_embedding_near_dedup, op9_mix_sources, op10_simhash_near_dedup)}
 
 
 OP8_SQL = """
