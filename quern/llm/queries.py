@@ -17,6 +17,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), limit=512)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.bpe import bpe_digests
+
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -46,7 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_url_filter, op8_embedding_near_dedup, op9_mix_sources, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_language_id, op6_byte_bpe, op7_url_filter, op8_embedding_near_dedup, op9_mix_sources, op10_simhash_near_dedup)}
 
 
 OP8_SQL = """
