@@ -29,6 +29,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"), folds=4, held=2)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.pitman_yor import pitman_yor_scores
+
+    return pitman_yor_scores(_table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.licenses import license_digest
+
+    return license_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.bpe import bpe_digests
 
@@ -64,7 +76,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_language_id, op6_byte_bpe, op7_url_filter, op8_embedding_near_dedup, op9_mix_sources, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_language_id, op4_lm_scores, op5_license_scan, op6_byte_bpe, op7_url_filter, op8_embedding_near_dedup, op9_mix_sources, op10_simhash_near_dedup)}
 
 
 OP8_SQL = """
