@@ -15,11 +15,8 @@ PLACE_BITS = 24
 GOOD, BAD, ABSTAIN = 1, 0, -1
 #: Smoothing towards P(good vote | class, the rule votes): good texts rarely show a defect, and a bad text need not show every one.
 GOOD_SMOOTH, BAD_SMOOTH = 0.99, 0.6
-#: Bits of a packed long that hold a window's place; longer texts skip the packed step.
-PLACE_BITS = 24
-GOOD, BAD, ABSTAIN = 1, 0, -1
-#: Smoothing towards P(good, abstain, bad | class): a defect is rare in good texts, and a bad text need not show every defect.
-GOOD_PRIOR, BAD_PRIOR = (0.85, 0.14, 0.01), (0.45, 0.25, 0.3)
+#: Prior probability of good before any row is seen.
+PRIOR = 0.8
 
 
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,35 +101,57 @@ class RuleModel:
         return 1 / (1 + F.exp(-score))
 
 
-def fit(voted: DataFrame, names: list[str], rounds: int = 25, tolerance: float = 1e-4) -> RuleModel:
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(rows: Column, value) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda s, x: s + value(x))
+
+
+def _em_step(rows: Column, places: Column, state: Column, total: Column, strength: Column) -> Column:
+    """One E and M step. rows: array of (v array<int>, n double); state: struct(prior, g, b), arrays by rule."""
+
+    def score(p, s):
+        per_rule = F.transform(places, lambda r: F.when(p["v"][r] == GOOD, F.log(s["g"][r] / s["b"][r])).when(p["v"][r] == BAD, F.log((1 - s["g"][r]) / (1 - s["b"][r]))).otherwise(0.0))
+        return F.log(s["prior"] / (1 - s["prior"])) + F.aggregate(per_rule, F.lit(0.0), lambda a, x: a + x)
+
+    def maximise(weighed):
+        good = lambda p: p["q"]
+        bad = lambda p: p["n"] - p["q"]
+
+        def share(r, weight, smooth):
+            right = _total(weighed, lambda p: F.when(p["v"][r] == GOOD, weight(p)).otherwise(0.0))
+            cast = _total(weighed, lambda p: F.when(p["v"][r] != ABSTAIN, weight(p)).otherwise(0.0))
+            return (right + strength * smooth) / (cast + strength)
+
+        prior = (_total(weighed, good) + strength * PRIOR) / (total + strength)
+        return F.struct(prior.alias("prior"), F.transform(places, lambda r: share(r, good, GOOD_SMOOTH)).alias("g"), F.transform(places, lambda r: share(r, bad, BAD_SMOOTH)).alias("b"))
+
+    weighed = F.transform(rows, lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), (p["n"] / (1 + F.exp(-score(p, state)))).alias("q")))
+    return _let(weighed, maximise)
+
+
+def fit(voted: DataFrame, names: list[str], rounds: int = 25) -> RuleModel:
     """Expectation-maximisation over the vote columns v_<name> of all rows.
 
-    Rows meet only as counts per vote pattern (3 ** rules at most, a bound that data cannot move). E and M steps are one
-    aggregation over the patterns; each round only the parameters reach the driver. Counts are smoothed towards rules whose
-    bad votes are right far more often than not, so the classes cannot swap. No rows: the smoothing alone.
+    Rows meet only as counts per vote pattern (3 ** rules at most, a bound that data cannot move), combined before the shuffle.
+    All rounds run over these counts inside one expression of one row, so only the parameters reach the driver. Counts are
+    smoothed towards rules whose bad votes are right far more often than not, so the classes cannot swap. No rows: the
+    smoothing alone.
     """
-    cols = [f"v_{n}" for n in names]
-    patterns = materialise(voted.groupBy(*cols).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    model = RuleModel(0.8, dict.fromkeys(names, (GOOD_SMOOTH, BAD_SMOOTH)))
-    total = patterns.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return model
-    strength = max(2.0, 0.01 * total)
-    for _ in range(rounds):
-        p = model.posterior({n: F.col(f"v_{n}") for n in names}) * F.col("n")
-        sums = [F.sum(p).alias("good")]
-        for name in names:
-            for kind, weight in (("g", p), ("b", F.col("n") - p)):
-                sums += [F.sum(F.when(F.col(f"v_{name}") == v, weight).otherwise(0.0)).alias(f"{kind}_{name}_{v}") for v in (GOOD, BAD)]
-        s = patterns.agg(*sums).first()
-        share = lambda kind, name, smooth: (s[f"{kind}_{name}_{GOOD}"] + strength * smooth) / (s[f"{kind}_{name}_{GOOD}"] + s[f"{kind}_{name}_{BAD}"] + strength)  # noqa: E731, B023
-        rules = {name: (share("g", name, GOOD_SMOOTH), share("b", name, BAD_SMOOTH)) for name in names}
-        prior = (s["good"] + 0.8 * strength) / (total + strength)
-        moved = max(abs(prior - model.prior), *(abs(x - y) for n in names for x, y in zip(rules[n], model.rules[n], strict=True)))
-        model = RuleModel(prior, rules)
-        if moved < tolerance:
-            break
-    return model
+    cols = [F.col(f"v_{n}").cast("int") for n in names]
+    patterns = voted.groupBy(*(f"v_{n}" for n in names)).agg(F.count("*").cast("double").alias("n"))
+    one = patterns.select(F.array(*cols).alias("v"), "n").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("rows"))
+    one = materialise(one.select("rows", F.aggregate("rows", F.lit(0.0), lambda s, p: s + p["n"]).alias("total")), "patterns")
+    one = one.withColumn("strength", F.greatest(F.lit(2.0), 0.01 * F.col("total")))
+    k = len(names)
+    start = F.struct(F.lit(PRIOR).alias("prior"), F.array_repeat(F.lit(GOOD_SMOOTH), k).alias("g"), F.array_repeat(F.lit(BAD_SMOOTH), k).alias("b"))
+    places = F.sequence(F.lit(0), F.lit(k - 1))
+    step = lambda s, _: _em_step(F.col("rows"), places, s, F.col("total"), F.col("strength"))
+    m = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("m")).first()["m"]
+    return RuleModel(m["prior"], {name: (m["g"][i], m["b"][i]) for i, name in enumerate(names)})
 
 
 def _base_failed() -> Column:
@@ -163,4 +182,6 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     counts = base_features(docs.select("text")).drop("text")
     model = fit(counts.select(*(x.cast("byte").alias(f"v_{n}") for n, x in v.items())), list(v))
     scored = base_features(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))), f"c{names.index('text')}")
-    return scored.where(~_base_failed()).where(model.posterior(v) >= threshold).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    # the row number keeps the optimiser from moving the test below the features, where it would be computed over and over
+    scored = scored.withColumn("_row", F.monotonically_increasing_id())
+    return scored.where((F.col("_row") >= 0) & ~_base_failed() & (model.posterior(v) >= threshold)).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -56,19 +56,20 @@ def tokens(url: str = "url") -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, min_count: int = 8) -> DataFrame:
     """Rules (rule_id, tokens, verdict, confidence, support) from rows (tokens array<string>, label string or null).
 
     Only rows with a label are transactions. Rules kept: one label to the right, confidence and support at least as given,
-    and no shorter rule of the same verdict with as much confidence. Support is a share of the rows, so the number of
-    surviving combinations does not follow the number of rows.
+    and no shorter rule of the same verdict with as much confidence. Support is a share of the rows, `min_count` rows at
+    least, so the number of surviving combinations does not follow the number of rows.
     """
     label = F.concat(F.lit("label="), F.col("label"))
     baskets = labelled.where("label is not null and size(tokens) > 0").select(F.concat(F.col("tokens"), F.array(label)).alias("items"))
     spark = labelled.sparkSession
-    if baskets.isEmpty():
+    n = baskets.count()
+    if not n:
         return spark.createDataFrame([], "rule_id long, tokens array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
     found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 7, 100).alias("verdict"), "confidence", "support"), "rules")
     a, b = found.alias("a"), found.alias("b")
