@@ -129,7 +129,7 @@ def real_paths(shown: DataFrame, files: DataFrame) -> DataFrame:
 
 def first_distinct(ranked: DataFrame, k: int, of: str = "path") -> DataFrame:
     """The first k distinct values of a ranked list (qid, rank), each at its first place."""
-    firsts = ranked.where(F.col(of).isNotNull() & (F.col(of) != "")).groupBy("qid", of).agg(F.min("rank").alias("rank"))
+    firsts = ranked.where(F.col(of).isNotNull() & (F.col(of).cast("string") != "")).groupBy("qid", of).agg(F.min("rank").alias("rank"))
     return firsts.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("place") <= k).select("qid", of, "place")
 
 

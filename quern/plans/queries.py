@@ -450,7 +450,7 @@ def source_mix(spark, sf):
     return envelope.source_mix(hybrid_lists(spark, sf), "hybrid")
 
 
-@_register(f"WITH {HYB}, {MIX} SELECT qid, CASE WHEN both > 0 THEN 'strong' WHEN n <= 2 THEN 'narrow' ELSE 'mixed' END AS confidence FROM mix")
+@_register(f"WITH {HYB}, {MIX} SELECT qid, CASE WHEN mix.both > 0 THEN 'strong' WHEN n <= 2 THEN 'narrow' ELSE 'mixed' END AS confidence FROM mix")
 def confidence(spark, sf):
     return envelope.confidence(envelope.source_mix(hybrid_lists(spark, sf), "hybrid")).select("qid", "confidence")
 
@@ -698,7 +698,7 @@ def first_distinct(spark, sf):
 
 # -------------------------------------------------------------------------------------------------------------- generation
 
-GEN = f"w AS (SELECT doc_id, w AS word, min(i) AS at FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {WORDS_SQL.format('substr(text, 1, 200000)')} AS w FROM documents)) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM w GROUP BY word), x AS (SELECT doc_id, word, df, at, md5('7:' || doc_id || ':' || word) AS h FROM w JOIN f USING (word))"
+GEN = f"w AS (SELECT doc_id, w AS word, min(i) AS fst FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {WORDS_SQL.format('substr(text, 1, 200000)')} AS w FROM documents)) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM w GROUP BY word), x AS (SELECT doc_id, word, df, fst, md5('7:' || doc_id || ':' || word) AS h FROM w JOIN f USING (word))"
 
 
 @_register(f"WITH {GEN}, r AS (SELECT *, df <= 3 AS rare, row_number() OVER (PARTITION BY doc_id, df <= 3 ORDER BY df, h) AS n FROM x WHERE df <= 50) SELECT doc_id, string_agg(word, ' ' ORDER BY NOT rare, n) AS query FROM r WHERE n <= CASE WHEN rare THEN 2 ELSE 1 END GROUP BY doc_id HAVING bool_or(rare)")
