@@ -45,6 +45,19 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def packed(docs: DataFrame, *needed: str):
+    """docs with the needed columns by name and all others inside one struct, so that no name of theirs can clash with an
+    operator's own; and a function that gives back all columns in their order."""
+    others = [c for c in docs.columns if c not in needed]
+    place = {c: f"c{i}" for i, c in enumerate(others)}
+    rest = [F.struct(*(F.col(f"`{c}`").alias(place[c]) for c in others)).alias("_rest")] if others else []
+
+    def unpack(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c) if c in needed else F.col("_rest")[place[c]].alias(c) for c in docs.columns))
+
+    return docs.select(*needed, *rest), unpack
+
+
 def id_crc_mod(column, mod: int):
     """crc32 of an id as text, modulo; null ids give -1, so they are never held out."""
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(mod)), F.lit(-1))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_crc_mod
+from quern.llm.common import id_crc_mod, packed
 
 #: Buckets that byte trigrams are hashed to: the model has this many numbers a language, whatever the corpus.
 BUCKETS = 1 << 14
@@ -134,6 +134,7 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """The rows of docs whose language could be told (not `und`), columns as they were."""
-    train = docs.where(id_crc_mod(F.col("doc_id"), folds) != held)
-    return with_language(docs, train).where(F.col("_lang.lang") != "und").select(*docs.columns)
+    """The rows of docs whose language could be told (not `und`), columns as they were, whatever their names."""
+    d, unpack = packed(docs, "doc_id", "text", "lang")
+    train = d.where(id_crc_mod(F.col("doc_id"), folds) != held)
+    return unpack(with_language(d, train).where(F.col("_lang.lang") != "und"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise
+from quern.llm.common import materialise, packed
 
 #: Documents in one flight; each leaves at most two undecided ones for the next level.
 BLOCK = 1024
@@ -142,6 +142,7 @@ def apply_mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     Copies are joined back by doc_id, source and size. Rows that share all three are numbered among themselves, so each gets
     one of the draws; all others are joined without that.
     """
+    docs, unpack = packed(docs, "doc_id", "text", "source")
     names = docs.columns
     drawn = mix(docs, seed, block).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("draws"))
     drawn = materialise(drawn.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "draws"), "drawn")
@@ -155,5 +156,5 @@ def apply_mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
         w = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
         many = d.join(several, same).withColumn("_n", F.get("draws", F.row_number().over(w) - 1)).where("_n > 0")
         out = out.unionByName(many.select(*names, "_n"))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+    return unpack(out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))))
 

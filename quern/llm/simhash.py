@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialise
+from quern.llm.common import connected_components, materialise, packed
 
 #: A posting list longer than this is linked through shared midpoints instead of by pairs; results are the same.
 LONG_POSTINGS = 64
@@ -138,6 +138,7 @@ def keep_one_per_group(docs: DataFrame, radius: int = 2, width: int = 3, seed: i
     The row with the group's smallest doc_id stays. Where several rows carry that doc_id, or a group has rows without doc_id
     only, the row with the smallest fingerprint and text stays. Texts are not shuffled but for those few rows.
     """
+    docs, unpack = packed(docs, "doc_id", "text")
     names = docs.columns
     prints = materialise(fingerprints(docs.select("doc_id", "text"), width=width, seed=seed).select("doc_id", "fp"), "fp")
     comps = materialise(components(prints, radius), "comps")
@@ -145,11 +146,11 @@ def keep_one_per_group(docs: DataFrame, radius: int = 2, width: int = 3, seed: i
     clear = docs.join(heads.where("doc_id is not null and rows = 1").select("doc_id"), "doc_id", "left_semi").select(*names)
     doubtful = heads.where("doc_id is null or rows > 1")
     if doubtful.isEmpty():
-        return clear
+        return unpack(clear)
     from pyspark.sql import Window
 
     again = fingerprints(docs.join(doubtful.select(F.col("doc_id").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_h")), "left_semi"), width=width, seed=seed, into="_fp")
     again = again.join(comps.select(F.col("fp").alias("_fp"), F.col("component_id").alias("_c")), "_fp").where("doc_id = _c or _c is null")
     # a group without ids is known by its root only through its fingerprint: such rows are ranked per fingerprint group
     w = Window.partitionBy("_c", F.when(F.col("_c").isNull(), F.col("_fp"))).orderBy("_fp", "text")
-    return clear.unionByName(again.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*names))
+    return unpack(clear.unionByName(again.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*names)))
