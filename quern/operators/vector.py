@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import text as T
 from quern.operators.lexical import CANDIDATES, RANK_DIGITS, in_scope, ranked
@@ -82,7 +83,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _nearest(shared, k: int):
+def _nearest(shared, k: int, kind: pa.DataType):
     def run(batches):
         qids, q = shared.value
         ids = [np.zeros(0, np.int64)] * len(qids)
@@ -106,7 +107,7 @@ def _nearest(shared, k: int):
         rows = [(q_, i, s) for q_, some, scores in zip(qids, ids, best, strict=True) for i, s in zip(some, scores, strict=True)]
         for at in range(0, len(rows), 10_000):
             part = rows[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([int(r[1]) for r in part], pa.int64()), pa.array([float(r[2]) for r in part])], ["qid", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], kind), pa.array([int(r[1]) for r in part], pa.int64()), pa.array([float(r[2]) for r in part])], ["qid", "chunk_id", "score"])
 
     return run
 
@@ -120,6 +121,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     spark = vectors.sparkSession
     kind = dict(queries.dtypes)["qid"]
+    arrow = to_arrow_type(queries.schema["qid"].dataType)
     rows = [(r.qid, r.embedding) for r in queries.select("qid", "embedding").where("embedding is not null").toLocalIterator()]
     size = max((len(v) for _, v in rows), default=1)
     step = max(1, BLOCK_NUMBERS // max(1, size))
@@ -129,7 +131,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         some = [(q, v / np.linalg.norm(v)) for q, v in some if len(v) == size and np.linalg.norm(v) > 0]
         if some:
             shared = spark.sparkContext.broadcast(([q for q, _ in some], np.stack([v for _, v in some])))
-            parts.append(vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(_nearest(shared, k), f"qid {kind}, chunk_id long, score double"))
+            parts.append(vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(_nearest(shared, k, arrow), f"qid {kind}, chunk_id long, score double"))
     if not parts:
         return spark.createDataFrame([], f"qid {kind}, chunk_id long, score double, rank int")
     out = parts[0]
@@ -146,7 +148,11 @@ def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.5,
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    unit = lambda df, key: df.where(T.dot(F.col("embedding"), F.col("embedding")) > 0).select(key, T.normalise(F.col("embedding")).alias("v")).withColumn("features", array_to_vector("v"))
+    size = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    usable = (F.size("embedding") == size) & F.coalesce(T.dot(F.col("embedding"), F.col("embedding")) > 0, F.lit(False))
+    # rows that are filtered out get a vector all the same, as the optimiser may compute it first
+    vector = F.when(usable, T.normalise(F.col("embedding"))).otherwise(F.array_repeat(F.lit(0.0), size))
+    unit = lambda df, key: df.where(usable).select(key, vector.alias("v")).withColumn("features", array_to_vector("v"))
     a, b = unit(queries, "qid"), unit(vectors, "chunk_id")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
     near = model.approxSimilarityJoin(a, b, reach).select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(T.dot(F.col("datasetA.v"), F.col("datasetB.v")), RANK_DIGITS).alias("score"))
