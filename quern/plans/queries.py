@@ -648,6 +648,26 @@ def nomatch_report(spark, sf):
     return p.select("corpus", "queries", "returned", r6("abstained"), r6("avg_len"), r6("noise"), r6("clean"), "false_positives")
 
 
+@_register(f"{PATHS}, w AS (SELECT item_id AS qid, CASE WHEN len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_'']+')) <= 25 THEN 'short' ELSE 'long' END AS stratum FROM benchmark) SELECT type, stratum, count(*) AS n, round_even(avg((coalesce(hit, 99) < 1)::INT), 4) AS recall_1, round_even(avg((coalesce(hit, 99) < 3)::INT), 4) AS recall_3, round_even(avg((coalesce(hit, 99) < 10)::INT), 4) AS recall_10 FROM hits JOIN w USING (qid) GROUP BY ALL")
+def stratified_recall(spark, sf):
+    size = F.when(F.size(T.query_tokens(F.col("query"))) <= 25, "short").otherwise("long")
+    return evaluate.recall(_hits(spark, sf).join(questions(spark, sf).select("qid", size.alias("stratum")), "qid"), "type", "stratum")
+
+
+@_register(f"WITH {HYB}, {KNEE.format(of='h')}, {EXPECTED} SELECT d.source AS grp, count(*) AS n, count(knee.doc_id) AS kept, round(count(knee.doc_id) / count(*), 6) AS share FROM ex JOIN documents d ON d.doc_id = ex.expected LEFT JOIN knee ON knee.qid = ex.qid AND knee.doc_id = ex.expected GROUP BY d.source")
+def knee_by_group(spark, sf):
+    ex = expected_docs(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("expected"), F.col("source").alias("grp")), "expected")
+    knee = truncate.truncate(hybrid_lists(spark, sf), "knee").select("qid", F.col("doc_id").alias("expected"), F.lit(1).alias("k"))
+    return ex.join(knee, ["qid", "expected"], "left").groupBy("grp").agg(F.count("*").alias("n"), F.count("k").alias("kept"), F.round(F.count("k") / F.count("*"), 6).alias("share"))
+
+
+@_register(f"WITH {HYB} SELECT lang || '/' || source || '/' || doc_id || '.txt' AS value FROM h JOIN documents USING (doc_id) WHERE rank <= 10")
+def paths_sink(spark, sf):
+    from quern.sources.files import paths_sink as sink
+
+    return sink(hybrid_lists(spark, sf).where("rank <= 10").join(documents(spark, sf).select("doc_id", "collection", "relpath"), "doc_id"))
+
+
 @_register(f"WITH {HYB}, {EXPECTED} SELECT type, count(*) FILTER (lex IS NOT NULL AND vec IS NOT NULL) AS both, count(*) FILTER (vec IS NULL) AS lexical_only, count(*) FILTER (lex IS NULL) AS vector_only FROM h JOIN ex ON ex.qid = h.qid AND ex.expected = h.doc_id GROUP BY type")
 def source_attribution(spark, sf):
     e = expected_docs(spark, sf)
