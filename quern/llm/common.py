@@ -13,11 +13,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset: a folder of the warehouse on a
+    cluster, a temporary folder in local mode."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("quern.shared.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
+        local = sc.master == "local" or sc.master.startswith("local[")
+        base = "file://" + tempfile.mkdtemp(prefix="quern-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quern-shared"
         spark.conf.set("quern.shared.dir", base)
     return base.rstrip("/")
 
