@@ -149,7 +149,8 @@ def apply_mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
     d = docs.withColumn("_size", words)
     same = d.doc_id.eqNullSafe(F.col("_d")) & d.source.eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    one = d.join(drawn.where("size(draws) = 1 and draws[0] > 0"), same).withColumn("_n", F.col("draws")[0])
+    # the table of draws grows with the documents: always a shuffle, at every size, with the draws as the hashed side
+    one = d.join(drawn.where("size(draws) = 1 and draws[0] > 0").hint("shuffle_hash"), same).withColumn("_n", F.col("draws")[0])
     out = one.select(*names, "_n")
     several = drawn.where("size(draws) > 1")
     if not several.isEmpty():

@@ -136,14 +136,15 @@ def keep_one_per_group(docs: DataFrame, radius: int = 2, width: int = 3, seed: i
     """docs with one row of each group of near-duplicates, and its columns as they were.
 
     The row with the group's smallest doc_id stays. Where several rows carry that doc_id, or a group has rows without doc_id
-    only, the row with the smallest fingerprint and text stays. Texts are not shuffled but for those few rows.
+    only, the row with the smallest fingerprint and text stays. Texts are shuffled once, by doc_id, to meet the ids that stay.
     """
     docs, unpack = packed(docs, "doc_id", "text")
     names = docs.columns
     prints = materialise(fingerprints(docs.select("doc_id", "text"), width=width, seed=seed).select("doc_id", "fp"), "fp")
     comps = materialise(components(prints, radius), "comps")
     heads = materialise(prints.join(comps.select("fp", "component_id"), "fp").where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
-    clear = docs.join(heads.where("doc_id is not null and rows = 1").select("doc_id"), "doc_id", "left_semi").select(*names)
+    # the table of ids grows with the documents: always a shuffle by id, at every size, with the ids as the hashed side
+    clear = docs.join(heads.where("doc_id is not null and rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*names)
     doubtful = heads.where("doc_id is null or rows > 1")
     if doubtful.isEmpty():
         return unpack(clear)
