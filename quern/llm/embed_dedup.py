@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, materialise
 
-#: Vectors in a tile; a tile product holds TILE x TILE float32.
-TILE = 1024
+#: Vectors in a tile: every pair of tiles is one group. Inside, products are of BLOCK x BLOCK float32, pairs are recomputed SLICE at a time.
+TILE, BLOCK, SLICE = 2048, 1024, 1 << 16
 #: Added to the error bound for the rounding of float32 products and of the stored norms.
 SLACK = 1e-4
 
@@ -33,36 +33,53 @@ def possible_pairs(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np
     return np.nonzero(dots + bound >= threshold - SLACK)
 
 
-def _tiles(tile: int, threshold: float):
-    def run(batches):
-        for table in batches:
-            if table.num_rows == 0:
-                continue
-            side = table.column("side").to_numpy(zero_copy_only=False)
-            rid = table.column("rid").to_numpy()
-            dim = len(table.column("codes")[0].as_py())
-            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(-1, dim)
-            parts = [table.column(c).to_numpy() for c in ("scale", "norm", "err")]
-            left = np.nonzero(side != 2)[0]  # 0: left, 1: both (a tile with itself), 2: right
-            right = np.nonzero(side != 0)[0]
-            for lo in range(0, len(left), tile):
-                i = left[lo : lo + tile]
-                for hi in range(0, len(right), tile):
-                    j = right[hi : hi + tile]
-                    p, q = possible_pairs((codes[i], *(x[i] for x in parts)), (codes[j], *(x[j] for x in parts)), threshold)
-                    one, two = rid[i[p]], rid[j[q]]
-                    if len(side) and side[i[0]] == 1:
-                        keep = one < two
-                        one, two = one[keep], two[keep]
-                    if len(one):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
-
-    def grouped(table: pa.Table) -> pa.Table:
-        out = list(run([table]))
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        return pa.Table.from_batches([x.cast(schema) for x in out], schema)
-
-    return grouped
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of linked places: afterwards root is the least place reachable, for the links seen so far."""
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            return
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not (root[root] == root).all():
+            root[:] = root[root]
+
+
+def _tiles(block: int, threshold: float):
+    """For the rows of one pair of tiles: of every row with a link here, its class's first row and the copies it links with.
+
+    Pairs stay inside: a block's candidates are recomputed in full precision in slices, counted, and joined into classes, so
+    what leaves is a row a vector at most, however many of them are alike.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rid = table.column("rid").to_numpy()
+        n = len(rid)
+        side, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(n, -1)
+        full = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(n, -1)
+        parts = [table.column(c).to_numpy() for c in ("scale", "norm", "err")]
+        root, links = np.arange(n), np.zeros(n, np.int64)
+        left, right = np.nonzero(side != 2)[0], np.nonzero(side != 0)[0]  # 0: left, 1: both (a tile with itself), 2: right
+        for lo in range(0, len(left), block):
+            i = left[lo : lo + block]
+            for hi in range(0, len(right), block):
+                j = right[hi : hi + block]
+                p, q = possible_pairs((codes[i], *(x[i] for x in parts)), (codes[j], *(x[j] for x in parts)), threshold)
+                p, q = i[p], j[q]
+                if side[0] == 1:
+                    p, q = p[p < q], q[p < q]
+                for at in range(0, len(p), SLICE):
+                    one, two = p[at : at + SLICE], q[at : at + SLICE]
+                    near = np.einsum("ij,ij->i", full[one], full[two]) >= threshold
+                    one, two = one[near], two[near]
+                    np.add.at(links, one, copies[two])
+                    np.add.at(links, two, copies[one])
+                    _join(root, one, two)
+        met = links > 0
+        return pa.table({"rid": pa.array(rid[met], pa.int64()), "root": pa.array(rid[root[met]], pa.int64()), "links": pa.array(links[met], pa.int64())})
+
+    return run
 
 
 def _encode(batches):
@@ -74,15 +91,17 @@ def _encode(batches):
         dims = lists.value_lengths().to_numpy()
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         ends = np.cumsum(dims)
-        codes, scale, norm, err = [b""] * n, np.zeros(n), np.zeros(n), np.zeros(n)
+        codes, unit, scale, norm, err = [b""] * n, [b""] * n, np.zeros(n), np.zeros(n), np.zeros(n)
         for dim in np.unique(dims):
             rows = np.nonzero(dims == dim)[0]
             x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)[None, :]]
-            q, s, nn, ee = quantise(x / np.abs(x).max(axis=1, keepdims=True))
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            q, s, nn, ee = quantise(x)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             for k, r in enumerate(rows):
-                codes[r] = q[k].tobytes()
+                codes[r], unit[r] = q[k].tobytes(), x[k].tobytes()
             scale[rows], norm[rows], err[rows] = s, nn, ee
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("label"), batch.column("dim"), pa.array(codes, pa.binary()), pa.array(scale), pa.array(norm), pa.array(err)], ["rid", "label", "dim", "codes", "scale", "norm", "err"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("label"), batch.column("dim"), batch.column("copies"), pa.array(codes, pa.binary()), pa.array(unit, pa.binary()), pa.array(scale), pa.array(norm), pa.array(err)], ["rid", "label", "dim", "copies", "codes", "unit", "scale", "norm", "err"])
 
 
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
@@ -96,7 +115,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile:
 
     Equal vectors of a label are one representative. Representatives of a label are dealt by hash to tiles of about `tile` rows;
     every pair of tiles is one group, whose int8 product and error bounds leave the pairs that can reach the threshold; only
-    these are joined to the vectors again and computed in full.
+    these are computed in full, and only classes and numbers of links leave the group, never the pairs.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -104,18 +123,14 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile:
     reps = rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     reps = materialise(reps.select(F.monotonically_increasing_id().alias("rid"), "label", "embedding", "least", "copies", F.size("embedding").alias("dim")), "reps")
     counts = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    codes = reps.select("rid", "label", "dim", v.alias("v")).mapInArrow(_encode, "rid long, label int, dim int, codes binary, scale double, norm double, err double")
+    codes = reps.select("rid", "label", "dim", "copies", v.alias("v")).mapInArrow(_encode, "rid long, label int, dim int, copies long, codes binary, unit binary, scale double, norm double, err double")
     placed = codes.join(counts, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = F.when(F.col("t") == F.col("u"), 1).when(F.col("t") < F.col("u"), 0).otherwise(2)
-    keyed = placed.select("label", "dim", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), side.cast("byte").alias("side"), "rid", "codes", "scale", "norm", "err")
-    maybe = keyed.groupBy("label", "dim", "lo", "hi").applyInArrow(_tiles(tile, threshold), "a long, b long")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    full = reps.select("rid", v.alias("v"), "copies").withColumn("norm", F.sqrt(dot("v", "v"))).withColumn("v", F.transform("v", lambda x: x / F.col("norm"))).drop("norm")
-    one, two = (full.select(F.col("rid").alias(k), F.col("v").alias(f"v{k}"), F.col("copies").alias(f"n{k}")) for k in "ab")
-    links = materialise(maybe.join(one, "a").join(two, "b").where(dot("va", "vb") >= threshold).select("a", "b", "na", "nb"), "links")
-    degree = links.select(F.col("a").alias("rid"), F.col("nb").alias("n")).unionByName(links.select(F.col("b").alias("rid"), F.col("na").alias("n"))).groupBy("rid").agg(F.sum("n").alias("other"))
-    roots = connected_components(links.select("a", "b")).select(F.col("node").alias("rid"), "root")
+    keyed = placed.select("label", "dim", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), side.cast("byte").alias("side"), "rid", "copies", "codes", "unit", "scale", "norm", "err")
+    ties = materialise(keyed.groupBy("label", "dim", "lo", "hi").applyInArrow(_tiles(min(tile, BLOCK), threshold), "rid long, root long, links long"), "ties")
+    degree = ties.groupBy("rid").agg(F.sum("links").alias("other"))
+    roots = connected_components(ties.select(F.col("rid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rid"), "root")
     known = materialise(reps.join(degree, "rid", "left").join(roots, "rid", "left").select("label", "embedding", "least", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"), F.coalesce("root", "rid").alias("root")), "known")
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = known.join(ids, "root").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
