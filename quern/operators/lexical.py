@@ -93,8 +93,13 @@ def phrase_frequencies(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     one = distinct.where(F.size("terms") == 1).select("terms", F.col("terms")[0].alias("term"))
     single = index.postings.join(one, "term").select("terms", "field", "doc_id", "tf")
     many = distinct.where(F.size("terms") > 1).select("terms", F.posexplode("terms").alias("at", "term"))
-    met = index.postings.join(many, "term").select("terms", "field", "doc_id", F.struct("at", F.transform("positions", lambda p: p - F.col("at")).alias("starts")).alias("m"))
-    full = met.groupBy("terms", "field", "doc_id").agg(F.collect_list("m").alias("m")).where(F.size("m") == F.size("terms"))
+    many = many.withColumn("phrase", F.xxhash64("terms"))
+    # which documents have every term is found without positions; only theirs are read
+    have = index.postings.select("term", "field", "doc_id").join(many.select("term", "phrase", F.size("terms").alias("size")), "term")
+    whole = have.groupBy("phrase", "size", "field", "doc_id").agg(F.count("*").alias("n")).where("n = size").select("phrase", "field", "doc_id")
+    met = whole.join(many, "phrase").join(index.postings.select("term", "field", "doc_id", "positions"), ["term", "field", "doc_id"])
+    met = met.select("terms", "field", "doc_id", F.struct("at", F.transform("positions", lambda p: p - F.col("at")).alias("starts")).alias("m"))
+    full = met.groupBy("terms", "field", "doc_id").agg(F.collect_list("m").alias("m"))
     starts = F.aggregate(F.slice("m", 2, F.size("m")), F.col("m")[0]["starts"], lambda s, x: F.array_intersect(s, x["starts"]))
     adjacent = full.select("terms", "field", "doc_id", F.size(starts).cast("long").alias("tf")).where("tf > 0")
     return single.unionByName(adjacent)
