@@ -1,4 +1,5 @@
-"""SimHash near-duplicates through an inverted index over byte positions, count filtering and exact verification."""
+"""SimHash near-duplicates through an inverted index over byte positions, count filtering and exact verification; and near-duplicates
+by the Jaccard similarity of their shingles, through an index over prefixes of the sets."""
 
 from __future__ import annotations
 
@@ -13,23 +14,31 @@ from quern.llm.common import connected_components, materialise, packed
 
 #: A posting list longer than this is linked through shared midpoints instead of by pairs; results are the same.
 LONG_POSTINGS = 64
+#: Shingles in that many texts of a sixteenth of them are put last in a set's order, so many of them at the utmost.
+COMMON_LEAST, COMMON_MOST = 4, 100_000
 
 
-def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a word sequence: a bit is 1 if it is set in over half the shingles' XXH64; 0 without words."""
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> list[int]:
+    """XXH64 of every run of `width` words, in order; of all words where they are fewer, none without words."""
     import xxhash
 
     if not words:
-        return 0
+        return []
     text = b" ".join(words)
     n = len(words)
     if n <= width:
-        hashes = [xxhash.xxh64_intdigest(text, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = (ends - np.fromiter(map(len, words), np.int64, n) - 1)[: n - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(text[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(text, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = (ends - np.fromiter(map(len, words), np.int64, n) - 1)[: n - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(text[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a word sequence: a bit is 1 if it is set in over half the shingles' XXH64; 0 without words."""
+    hashes = shingle_hashes(words, width, seed)
+    if not hashes:
+        return 0
     total, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, total, 1 << 16):
         block = np.array(hashes[at : at + (1 << 16)], dtype=">u8")
@@ -107,17 +116,22 @@ def near_pairs(prints: DataFrame, radius: int = 2, long_postings: int = LONG_POS
     return pairs.unionByName(ties)
 
 
+def _grouped(prints: DataFrame, link) -> DataFrame:
+    """From rows (doc_id, fp): (fp, component_id, copies, root) per distinct fp, with the edges link(nodes) gives between them."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "prints")
+    roots = connected_components(link(nodes)).select(F.col("node").alias("fp"), "root")
+    placed = materialise(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(ids, "root").select("fp", "component_id", "copies", "root")
+
+
 def components(prints: DataFrame, radius: int = 2, long_postings: int = LONG_POSTINGS) -> DataFrame:
     """From rows (doc_id, fp): (fp, component_id, copies) per distinct fingerprint.
 
     component_id is the smallest doc_id among all rows whose fingerprints are reachable by links of `radius` bits or less; null
     if none of them has a doc_id. Copies of a fingerprint are one node, so groups of any size cost one row here.
     """
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "prints")
-    roots = connected_components(near_pairs(nodes.select("fp"), radius, long_postings)).select(F.col("node").alias("fp"), "root")
-    placed = materialise(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "root").select("fp", "component_id", "copies")
+    return _grouped(prints, lambda nodes: near_pairs(nodes.select("fp"), radius, long_postings)).select("fp", "component_id", "copies")
 
 
 def simhash_near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
@@ -132,16 +146,107 @@ def simhash_near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, se
     return prints.join(comps.select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted XXH64 values; words as in the fingerprints."""
+    return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), width, seed), np.uint64))
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0
+
+
+def _set_key_udf(width: int, seed: int):
+    @F.arrow_udf("long")
+    def set_key(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([_set_key(shingle_set(t.as_py(), width, seed)) for t in texts], np.uint64).view(np.int64))
+
+    return set_key
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many shingles of n, in an order common to all sets, are sure to hold one of any set of that similarity or more."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _sets(width: int, seed: int, similarity: float | None = None, common: np.ndarray | None = None):
+    """Rows (doc_id, text) to (doc_id, fp, size, shingles): whole sets, or their prefixes with the `common` shingles, commonest
+    last, at the end of the order."""
+
+    def run(batches):
+        place = None if common is None else np.argsort(common)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys, sizes, lists = [], [], []
+                for t in part.column(1):
+                    own = shingle_set(t.as_py(), width, seed)
+                    keys.append(_set_key(own))
+                    sizes.append(len(own))
+                    if similarity is not None:
+                        if len(own) and len(common):
+                            i = np.minimum(np.searchsorted(common, own, sorter=place), len(common) - 1)
+                            hit = common[place[i]] == own
+                            own = own[np.argsort(np.where(hit, 1 + place[i], 0), kind="stable")]
+                        own = own[: prefix_length(len(own), similarity)]
+                    lists.append(own)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                flat = np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)
+                rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), rows], ["doc_id", "fp", "size", "shingles"])
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, prints: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
+    """Edges (a, b): all pairs of distinct shingle sets (fp) whose Jaccard similarity is `similarity` or more.
+
+    Two such sets share a shingle among the first of each (`prefix_length`) in any order common to all. Pairs that share one, and
+    whose sizes and places leave room for the overlap, are verified on whole sets; texts without words are one set. `docs` has the texts
+    (doc_id, text), `prints` their prefixes (doc_id, fp, size, shingles).
+    """
+    heads = prints.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    posts = heads.select("fp", "size", F.posexplode("shingles").alias("at", "shingle"))
+    a, b = (posts.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("fp", "size", "at"))) for k in "ab")
+    need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6)
+    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    # the first shared shingle has no shared one before it, so its places bound the overlap
+    near = materialise(a.join(b, "shingle").where("fp_a < fp_b").where(room >= need).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "near")
+    sought = materialise(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "sought")
+    kind = dict(docs.dtypes)["doc_id"]
+    whole = docs.mapInArrow(_sets(width, seed), f"doc_id {kind}, fp long, size int, shingles array<long>").join(sought, "fp", "left_semi")
+    whole = materialise(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "sets")
+    pairs = near.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+
+
+def common_shingles(docs: DataFrame, width: int, seed: int) -> np.ndarray:
+    """The shingles found in COMMON_LEAST or more of a sixteenth of the texts, COMMON_MOST at the utmost, rarest first.
+
+    They only order the sets (boilerplate last), so what the sample misses costs time and loses no pair.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0).mapInArrow(_sets(width, seed), f"doc_id {kind}, fp long, size int, shingles array<long>")
+    top = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST)
+    return np.array([r.h for r in top.collect()][::-1], np.int64).view(np.uint64)
+
+
+def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near-duplicates, and its columns as they were.
 
-    The row with the group's smallest doc_id stays. Where several rows carry that doc_id, or a group has rows without doc_id
-    only, the row with the smallest fingerprint and text stays. Texts are shuffled once, by doc_id, to meet the ids that stay.
+    Near-duplicates: texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, and what such links
+    connect. The row with the group's smallest doc_id stays. Where several rows carry that doc_id, or a group has rows without doc_id
+    only, the row with the smallest set key and text stays. Texts are shuffled once, by doc_id, to meet the ids that stay.
     """
     docs, unpack = packed(docs, "doc_id", "text")
     names = docs.columns
-    prints = materialise(fingerprints(docs.select("doc_id", "text"), width=width, seed=seed).select("doc_id", "fp"), "fp")
-    comps = materialise(components(prints, radius), "comps")
+    texts = docs.select("doc_id", "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    common = common_shingles(texts, width, seed)
+    prints = materialise(texts.mapInArrow(_sets(width, seed, similarity, common), f"doc_id {kind}, fp long, size int, shingles array<long>"), "prefixes")
+    comps = materialise(_grouped(prints, lambda nodes: similar_pairs(texts, prints, similarity, width, seed)), "comps")
     heads = materialise(prints.join(comps.select("fp", "component_id"), "fp").where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
     # the table of ids grows with the documents: always a shuffle by id, at every size, with the ids as the hashed side
     clear = docs.join(heads.where("doc_id is not null and rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*names)
@@ -150,8 +255,7 @@ def keep_one_per_group(docs: DataFrame, radius: int = 2, width: int = 3, seed: i
         return unpack(clear)
     from pyspark.sql import Window
 
-    again = fingerprints(docs.join(doubtful.select(F.col("doc_id").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_h")), "left_semi"), width=width, seed=seed, into="_fp")
-    again = again.join(comps.select(F.col("fp").alias("_fp"), F.col("component_id").alias("_c")), "_fp").where("doc_id = _c or _c is null")
-    # a group without ids is known by its root only through its fingerprint: such rows are ranked per fingerprint group
-    w = Window.partitionBy("_c", F.when(F.col("_c").isNull(), F.col("_fp"))).orderBy("_fp", "text")
+    again = docs.join(doubtful.select(F.col("doc_id").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_h")), "left_semi").withColumn("_fp", _set_key_udf(width, seed)(F.col("text")))
+    again = again.join(comps.select(F.col("fp").alias("_fp"), F.col("component_id").alias("_c"), F.col("root").alias("_root")), "_fp").where("doc_id = _c or _c is null")
+    w = Window.partitionBy("_root").orderBy("_fp", "text")
     return unpack(clear.unionByName(again.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*names)))

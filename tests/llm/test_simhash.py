@@ -96,3 +96,36 @@ def test_stage(spark):
 def test_no_rows(spark):
     none = cases.documents(spark, [])
     assert H.simhash_near_duplicates(none).count() == 0 and H.keep_one_per_group(none).count() == 0
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return a[1] == b[1] or 5 * len(a[1] & b[1]) >= 4 * len(a[1] | b[1])
+
+
+def test_stage_takes_near_copies_by_five_word_jaccard(spark):
+    """Copies with a few words changed, on both sides of 0.8, and boilerplate in every text; all pairs by brute force."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 220))]
+        for edits in (0, 1, 2, 3, 4, 6, 9)[: rng.randint(1, 7)]:
+            own = list(text)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(["all rights reserved by the holders of this text"] * (g % 2) + own), "en", "a", 1))
+    items = [(r[0], shingles(r[1])) for r in rows]
+    expect = sorted(set(classes(items, alike)))
+    got = sorted(r.doc_id for r in H.keep_one_per_group(cases.documents(spark, rows)).collect())
+    assert got == expect and len(expect) < len({r[2] for r in want([(r[0], r[1]) for r in rows])})
+
+
+def test_stage_on_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    items = [(d, shingles(t)) for d, t in rows]
+    assert sorted(r.doc_id for r in H.keep_one_per_group(docs).collect()) == sorted(set(classes(items, alike)))
