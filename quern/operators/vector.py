@@ -140,10 +140,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(ranked("score", "qid", tie="chunk_id"))).where(F.col("rank") <= k)
 
 
-def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.5, tables: int = 12, reach: float = 1.2, seed: int = 7) -> DataFrame:
-    """As `knn`, but candidates come from random-projection buckets (Euclidean distance of unit vectors under `reach`); approximate.
+def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.5, tables: int = 12, seed: int = 7) -> DataFrame:
+    """As `knn`, but candidates come from random-projection buckets of unit vectors; approximate.
 
-    Candidates are re-ranked by exact cosine. Neighbours further than `reach` (cosine 1 - reach ** 2 / 2) are not found.
+    All candidates, however far, are re-ranked by exact cosine. Queries that have fewer than k of them are answered by `knn`.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -155,8 +155,10 @@ def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 1.5,
     unit = lambda df, key: df.where(usable).select(key, vector.alias("v")).withColumn("features", array_to_vector("v"))
     a, b = unit(queries, "qid"), unit(vectors, "chunk_id")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
-    near = model.approxSimilarityJoin(a, b, reach).select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(T.dot(F.col("datasetA.v"), F.col("datasetB.v")), RANK_DIGITS).alias("score"))
-    return near.withColumn("rank", F.row_number().over(ranked("score", "qid", tie="chunk_id"))).where(F.col("rank") <= k)
+    near = model.approxSimilarityJoin(a, b, float("inf")).select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(T.dot(F.col("datasetA.v"), F.col("datasetB.v")), RANK_DIGITS).alias("score"))
+    near = near.withColumn("rank", F.row_number().over(ranked("score", "qid", tie="chunk_id"))).where(F.col("rank") <= k).persist()
+    full = near.where(F.col("rank") == k).select("qid")
+    return near.join(full, "qid", "left_semi").unionByName(knn(vectors, queries.where(usable).join(full, "qid", "left_anti"), k))
 
 
 def search_vector(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int | Column = CANDIDATES, prefilter: bool = False, fetch: int = CANDIDATES * OVERFETCH) -> DataFrame:

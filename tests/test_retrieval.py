@@ -126,6 +126,22 @@ def test_buckets_find_most_neighbours(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_buckets_find_the_whole_top_ten(spark):
+    """Recall over all of the true ten, however low their cosine, on the given vectors; and no query comes back short."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as chunk_id", "embedding")
+    q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid")
+    exact, found = ({(r.qid, r.chunk_id) for r in f(v, q, 10).collect()} for f in (V.knn, V.knn_lsh))
+    print("recall", len(exact & found) / len(exact))
+    assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_queries_with_few_candidates_are_filled(spark):
+    x, v = vectors(spark)
+    q = v.where("chunk_id < 40").withColumnRenamed("chunk_id", "qid")
+    exact = {(r.qid, r.chunk_id) for r in V.knn(v, q, 200).collect()}
+    assert {(r.qid, r.chunk_id) for r in V.knn_lsh(v, q, 200, bucket=0.01, tables=1).collect()} == exact
+
+
 def test_documents_by_best_chunk_and_scope(spark):
     x, v = vectors(spark)
     chunks = spark.createDataFrame([(i, i // 4, i % 4, 0, 10) for i in range(200)], "chunk_id long, doc_id long, seq int, pos int, length int")
