@@ -724,13 +724,13 @@ GEN = f"w AS (SELECT doc_id, w AS word, min(i) AS fst FROM (SELECT doc_id, unnes
 @_register(f"WITH {GEN}, r AS (SELECT *, df <= 3 AS rare, row_number() OVER (PARTITION BY doc_id, df <= 3 ORDER BY df, h) AS n FROM x WHERE df <= 50) SELECT doc_id, string_agg(word, ' ' ORDER BY NOT rare, n) AS query FROM r WHERE n <= CASE WHEN rare THEN 2 ELSE 1 END GROUP BY doc_id HAVING bool_or(rare)")
 def gen_unique(spark, sf):
     d = documents(spark, sf)
-    return querygen.unique_queries(d, querygen.document_frequency(d))
+    return querygen.unique_queries(d, querygen.document_frequency(d, querygen.READ_CHARS))
 
 
 @_register(f"WITH {GEN}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h, word) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM x WHERE df BETWEEN 5 AND 500) SELECT doc_id, string_agg(word, ' ' ORDER BY n) AS query FROM r WHERE n <= 6 AND c >= 4 GROUP BY doc_id")
 def gen_vague(spark, sf):
     d = documents(spark, sf)
-    return querygen.vague_queries(d, querygen.document_frequency(d))
+    return querygen.vague_queries(d, querygen.document_frequency(d, querygen.READ_CHARS))
 
 
 @_register(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: string_split(trim(regexp_replace(trim(x), '\s+', ' ', 'g')), ' ')), lambda w: len(w) >= 8) AS l FROM (SELECT doc_id, substr(text, 1, 200000) AS text FROM documents)),

@@ -170,3 +170,8 @@ def test_registry_has_sql_with_the_same_columns(spark):
         a = sorted(repr(tuple(r[c] for c in order)) for r in got.collect())
         b = sorted(repr(x) for x in rel.project(", ".join(f'"{c}"' for c in order)).fetchall())
         assert a == b, name
+
+
+def test_document_frequency_reads_whole_texts(spark):
+    d = spark.createDataFrame([(1, "common " * 30_000 + "lastword"), (2, "common lastword")], "doc_id long, body string")
+    assert {r.word: r.df for r in G.document_frequency(d).collect()} == {"common": 2, "lastword": 2}
