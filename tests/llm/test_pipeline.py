@@ -4,7 +4,7 @@ from tests.llm import cases
 from tests.llm.test_bpe import digests
 from tests.llm.test_mixing import targets
 from tests.llm.test_quality import base
-from tests.llm.test_simhash import want
+from tests.llm.test_simhash import alike, classes, shingles
 
 
 def test_stages_one_by_one_against_brute_force(spark, sf):
@@ -16,8 +16,8 @@ def test_stages_one_by_one_against_brute_force(spark, sf):
     assert all(not base(r.text)[5] for r in good.collect())
     assert cases.rows(good, "doc_id") == cases.rows(quality.quality_rules(told).where("kept"), "doc_id")
     single = C.STAGES[2][1](spark, good, sf)
-    classes = want([tuple(r) for r in good.select("doc_id", "text").collect()])
-    assert cases.rows(single, "doc_id") == sorted({(c,) for *_, c in classes}, key=repr)
+    comps = classes([(r.doc_id, shingles(r.text)) for r in good.collect()], alike)
+    assert cases.rows(single, "doc_id") == sorted({(c,) for c in comps}, key=repr)
     mixed = C.STAGES[3][1](spark, single, sf)
     assert mixed.columns == docs.columns
     size = {r.doc_id: len(r.text.split()) for r in single.collect()}
