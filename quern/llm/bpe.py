@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces up to this many bytes are encoded directly.
-LEAF = 32
-#: Pieces a task remembers; then it starts anew.
-MEMORY = 300_000
+#: Bytes that are merged by the definition at once; the halves of anything longer are encoded on their own. In longer windows a heap finds the next merge.
+LEAF, SHORT = 4, 24
+#: Pieces, and halves (up to HALF bytes) and token pairs, that a task remembers; then it starts anew.
+PIECES, MEMORY, HALF = 450_000, 300_000, 8
+
+
+#: Above any rank.
+NEVER = 1 << 62
 
 
 class Vocabulary:
@@ -21,6 +26,8 @@ class Vocabulary:
 
     def __init__(self, lines: bytes, pattern: str):
         self.lines, self.pattern = lines, pattern
+        self._pairs: dict[tuple[int, int], list[int]] = {}
+        self._halves: dict[bytes, list[int]] = {}
 
     def __reduce__(self):
         return (type(self), (self.lines, self.pattern))
@@ -40,41 +47,61 @@ class Vocabulary:
         return regex.compile(self.pattern).findall
 
     def merge(self, raw: bytes) -> list[int]:
-        """The definition: join the neighbours of the lowest rank, leftmost first, until no pair has a rank. Quadratic."""
+        """The definition: join the neighbours of the lowest rank, leftmost first, until no pair has a rank."""
+        if len(raw) > SHORT:
+            return self._merge_long(raw)
+        rank = self.ranks.get
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
+        ranks = [rank(raw[i : i + 2], NEVER) for i in range(len(raw) - 1)]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
         return [self.ranks[p] for p in parts]
 
-    @cached_property
-    def unreachable(self) -> frozenset[bytes]:
-        """Tokens that merging does not arrive at; the library gives them for a whole piece only."""
-        return frozenset(t for t, r in self.ranks.items() if len(t) > 1 and self.merge(t) != [r])
-
-    @cached_property
-    def _single(self):
-        import tiktoken
-
-        return tiktoken.Encoding("vocabulary", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
-
-    def leaf(self, raw: bytes) -> list[int]:
-        return self._single(raw) if raw not in self.ranks or raw not in self.unreachable else self.merge(raw)
-
-    @cached_property
-    def _pairs(self) -> dict[tuple[int, int], bool]:
-        return {}
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """The same with the pairs in a heap: a part is known by where it starts, `end` has where it ends, 0 once it is merged away."""
+        n, rank = len(raw), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            mid = end[i]
+            if not mid or mid >= n or end[mid] != stop:
+                continue  # one of the two has changed since
+            end[i], end[mid] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(raw[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if i > 0 and (r := rank(raw[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[raw[i : end[i]]])
+            i = end[i]
+        return out
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the two tokens, side by side, encode to themselves."""
-        known = self._pairs.get((a, b))
-        if known is None:
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of two tokens' bytes."""
+        out = self._pairs.get((a, b))
+        if out is None:
             if len(self._pairs) > MEMORY:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.leaf(self.tokens[a] + self.tokens[b]) == [a, b]
-        return known
+            out = self._pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b])
+        return out
+
+    def stable(self, a: int, b: int) -> bool:
+        """Whether the two tokens, side by side, encode to themselves: if the first does, what follows is the second's own encoding."""
+        return (self._pairs.get((a, b)) or self.pair(a, b))[0] == a
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the two encodings' texts together.
@@ -85,28 +112,38 @@ class Vocabulary:
         """
         if not left or not right:
             return left + right
-        k = 1
-        while True:
-            a, b = max(0, len(left) - k), min(k, len(right))
-            window = self.leaf(b"".join(map(self.tokens.__getitem__, left[a:] + right[:b])))
-            if (a == 0 or self.stable(left[a - 1], window[0])) and (b == len(right) or self.stable(window[-1], right[b])):
-                return left[:a] + window + right[b:]
+        window = self.pair(left[-1], right[0])
+        a, b, k = len(left) - 1, 1, 1
+        while not ((not a or self.stable(left[a - 1], window[0])) and (b == len(right) or self.stable(window[-1], right[b]))):
             k *= 2
+            a, b = max(0, len(left) - k), min(k, len(right))
+            window = self.merge(b"".join(map(self.tokens.__getitem__, left[a:] + right[:b])))
+        return left[:a] + window + right[b:]
 
     def tree(self, raw: bytes) -> list[int]:
+        """Both halves on their own, joined; halves that many pieces share are remembered."""
+        if len(raw) <= HALF and (out := self._halves.get(raw)) is not None:
+            return out
         if len(raw) <= LEAF:
-            return self.leaf(raw) if raw else []
-        mid = len(raw) // 2
-        return self.join(self.tree(raw[:mid]), self.tree(raw[mid:]))
+            out = self.merge(raw)
+        else:
+            mid = len(raw) // 2
+            out = self.join(self.tree(raw[:mid]), self.tree(raw[mid:]))
+        if len(raw) <= HALF:
+            if len(self._halves) > MEMORY:
+                self._halves.clear()
+            self._halves[raw] = out
+        return out
 
     def encode_piece(self, raw: bytes) -> list[int]:
+        """A piece that is a token as a whole gives that token, whether merging arrives at it or not; all others go through the tree."""
         whole = self.ranks.get(raw)
         return [whole] if whole is not None else self.tree(raw)
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree."""
-        if len(ids) <= LEAF:
-            return b"".join(map(self.tokens.__getitem__, ids))
+        if len(ids) <= 2:
+            return b"".join([self.tokens[i] for i in ids])
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
@@ -144,7 +181,7 @@ def _digest(shared):
             n, ids, raw = [], [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
-                if len(memo) > MEMORY:
+                if len(memo) > PIECES:
                     memo.clear()
                 one, two, count = hashlib.sha256(), hashlib.sha256(), 0
                 pieces = vocabulary.find(text)
@@ -167,9 +204,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     A null text counts as empty: no tokens, digests of nothing. Rows repeat as they came, null ids stay null, other columns
     are not read, an empty table gives no rows. Each row is worked on alone; the vocabulary (fixed size) is broadcast.
     """
-    v = load(path)
-    v.unreachable  # noqa: B018  found once here
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_digest(shared), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
