@@ -4,6 +4,7 @@ by the Jaccard similarity of their shingles, through an index over prefixes of t
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,9 @@ from quern.llm.common import connected_components, materialise, packed
 
 #: A posting list longer than this is linked through shared midpoints instead of by pairs; results are the same.
 LONG_POSTINGS = 64
+#: Positions in one posting's key, and the choices of them: agreement in six positions gives six shared lists, in five only one.
+PLACES = 5
+SLOTS = list(combinations(range(8), PLACES))
 #: Shingles in that many texts of a sixteenth of them are put last in a set's order, so many of them at the utmost.
 COMMON_LEAST, COMMON_MOST = 4, 100_000
 
@@ -65,38 +69,51 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int
     return docs.withColumn(into, _fingerprint_udf(width, seed)(F.col(text)))
 
 
-def _shared_bytes(x):
-    """How many of the eight positional bytes of two fingerprints agree, from their xor."""
-    return sum(((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))) == 0).cast("int") for i in range(8))
+def _bytes_at(column, places):
+    """The positional bytes at `places` side by side in one long."""
+    out = F.lit(0).cast("long")
+    for n, i in enumerate(places):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(column, 8 * i).bitwiseAND(F.lit(255)), 8 * n))
+    return out
+
+
+def postings(prints: DataFrame) -> DataFrame:
+    """(slot, bytes, fp, n) of the inverted index over the byte positions of distinct fingerprints (column fp); n is the list's length, lists of one are left out.
+
+    A list belongs to PLACES of the eight positions (slot) and the bytes there: single positions would put 1/256 of all rows into
+    each list. Two fingerprints that agree in m positional bytes share C(m, PLACES) lists.
+    """
+    from pyspark.sql import Window
+
+    keys = [F.struct(F.lit(n).cast("byte").alias("slot"), _bytes_at(F.col("fp"), c).alias("bytes")) for n, c in enumerate(SLOTS)]
+    every = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.bytes", "fp")
+    return every.withColumn("n", F.count("*").over(Window.partitionBy("slot", "bytes"))).where("n > 1")
+
+
+def candidates(shared: DataFrame, radius: int) -> DataFrame:
+    """Count filter: the pairs (a, b) of these postings that meet in as many lists as pairs within `radius` bits are sure to, C(8 - radius, PLACES)."""
+    a, b = (shared.select("slot", "bytes", F.col("fp").alias(c)) for c in "ab")
+    met = a.join(b, ["slot", "bytes"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("lists"))
+    return met.where(F.col("lists") >= comb(8 - radius, PLACES)).select("a", "b")
 
 
 def near_pairs(prints: DataFrame, radius: int = 2, long_postings: int = LONG_POSTINGS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose closure links exactly those within `radius` (at most 2) bits.
 
-    Index: at most two differing bits touch at most two of eight positional bytes, and at most two of the four pairs of
-    neighbouring bytes, so two of these four pairs agree. Postings are kept for each choice of two of them: four positional
-    bytes and their places (single bytes would put 1/256 of all rows into each list). Pairs that share a posting are tallied
-    over all eight positional bytes; those with fewer than eight minus `radius` matches are dropped, the rest verified bit by bit.
+    Differing bits touch at most `radius` of the eight positional bytes. Pairs that meet in a list of `postings` are tallied over
+    all their lists; those with fewer meetings than the bytes that must agree give are dropped, the rest verified bit by bit.
 
-    A posting list of over `long_postings` fingerprints is not paired: its members differ only in the other 32 bits, and two
+    A list of over `long_postings` fingerprints is not paired: its members differ only in the other bytes, and two
     lie within two bits if and only if they share a code at most one flip away from both. Each member is tied to the least
-    member with such a code (every tie is itself a link), 33 rows a member whatever the length, so no link is lost.
+    member with such a code (every tie is itself a link), so no link is lost; a pair that meets in a long list is linked there,
+    and for all others the tally over the short lists is complete.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius is 0, 1 or 2")
     if radius == 0:
         return prints.sparkSession.createDataFrame([], "a long, b long")
-    words = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.struct(F.lit(n).cast("byte").alias("slot"), F.shiftleft(words[i], 16).bitwiseOR(words[j]).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    postings = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.bytes", "fp")
-    lengths = postings.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(postings.join(lengths, ["slot", "bytes"]), "postings")
-    short = shared.where(F.col("n") <= long_postings).select("slot", "bytes", "fp")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
-        short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), ["slot", "bytes"]).where("a < b").select("a", "b")
-        .where(_shared_bytes(x) >= 8 - radius).where(F.bit_count(x) <= radius).distinct()
-    )
+    shared = materialise(postings(prints), "postings")
+    pairs = candidates(shared.where(F.col("n") <= long_postings), radius).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     long = shared.where(F.col("n") > long_postings)
     if long.isEmpty():
         return pairs
@@ -105,11 +122,10 @@ def near_pairs(prints: DataFrame, radius: int = 2, long_postings: int = LONG_POS
         codes = long.select("slot", "bytes", "fp", F.explode(F.array(*(F.struct(F.lit(b).alias("bit"), F.col("fp").bitwiseOR(f).alias("code")) for b, f in enumerate(flips)))).alias("c")).select("slot", "bytes", "fp", "c.bit", "c.code")
     else:
         codes = long.select("slot", "bytes", "fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(f) for f in flips))).alias("code")).withColumn("bit", F.lit(0))
-    # only codes inside the list's own four bytes stay: the others repeat what other lists hold
-    own = [F.shiftrightunsigned("code", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    # only codes inside the list's own bytes stay: the others repeat what other lists hold
     same = F.lit(False)
-    for n, (i, j) in enumerate(combinations(range(4), 2)):
-        same = same | ((F.col("slot") == n) & (F.shiftleft(own[i], 16).bitwiseOR(own[j]) == F.col("bytes")))
+    for n, places in enumerate(SLOTS):
+        same = same | ((F.col("slot") == n) & (_bytes_at(F.col("code"), places) == F.col("bytes")))
     codes = codes.where(same)
     least = codes.groupBy("slot", "bytes", "bit", "code").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     ties = codes.join(least, ["slot", "bytes", "bit", "code"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct()

@@ -76,6 +76,27 @@ def test_links_of_crowded_fingerprints(spark, radius, long):
     assert got == {fp: c for (_, fp), c in zip(rows, comp, strict=True)}
 
 
+def test_count_filter_keeps_pairs_with_enough_shared_bytes(spark):
+    """Pairs that agree in six or more positional bytes, and no pair that agrees in five: those meet in a list, but in too few."""
+    rng = random.Random(8)
+    prints = set()
+    for _ in range(30):
+        seed = rng.getrandbits(63)
+        prints.add(seed)
+        for _ in range(6):
+            x = seed
+            for place in rng.sample(range(8), rng.randint(1, 4)):
+                x ^= rng.randint(1, 127) << (8 * place)
+            prints.add(x)
+    agree = lambda a, b: sum((a ^ b) >> (8 * i) & 255 == 0 for i in range(8))
+    pairs = {(a, b): agree(a, b) for a in prints for b in prints if a < b}
+    shared = H.postings(spark.createDataFrame([(x,) for x in prints], "fp long"))
+    for radius in (1, 2):
+        got = {tuple(r) for r in H.candidates(shared, radius).collect()}
+        assert got == {p for p, n in pairs.items() if n >= 8 - radius}
+    assert 5 in pairs.values() and 6 in pairs.values()
+
+
 def test_components_of_a_path_and_null_ends(spark):
     n = 300
     edges = [(i, i + 1) for i in range(n)] + [(i + 1, i) for i in range(n)] + [(5, 5), (None, 3), (9000, 9001)]
