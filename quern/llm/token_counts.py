@@ -1,25 +1,28 @@
-"""Token counts: pieces are counted per distinct pre-token and joined to each document's pre-token frequencies."""
+"""Token counts: pieces are counted once per distinct pre-token and joined to each document's pre-token frequencies.
 
-from __future__ import annotations
+The corpus is cut into slices. A slice names each of its pre-tokens once, whatever the number of documents that have it, and
+deals them to groups by hash; what a group receives is made distinct and counted; the numbers go back to the slices.
+"""
 
-from collections import Counter
+from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise
+from quern.llm.letters import LETTERS, group_of, grouped, letters, rows_of
 
-#: A pre-token met in so many documents of one batch is counted in place; the rest meet in one shuffle.
-FREQUENT = 4
-#: Pre-tokens a task remembers; then it starts anew.
-MEMORY = 400_000
+#: Pre-tokens and distinct ones of a slice, entries that one group receives on average.
+SLICE, SLICE_WORDS, GROUP = 1 << 21, 400_000, 1 << 18
+ASK, ANSWER = range(2)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class PieceCounter(dict):
-    """pre-token -> number of pieces, by the library itself."""
+class PieceCounter:
+    """Numbers of pieces of distinct pre-tokens, by the library itself."""
 
     def __init__(self, model: str):
         import os
@@ -30,13 +33,11 @@ class PieceCounter(dict):
         self.tokenizer = Tokenizer.from_str(model)
         self.specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
 
-    def learn(self, tokens: list[str]) -> None:
-        if len(self) > MEMORY:
-            self.clear()
-        new = [t for t in tokens if t not in self]
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
-            self.update(zip(some, [len(e) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+    def count(self, tokens: list[str]) -> np.ndarray:
+        out = np.zeros(len(tokens), np.int32)
+        for at in range(0, len(tokens), 1024):
+            out[at : at + 1024] = [len(e) for e in self.tokenizer.encode_batch_fast(tokens[at : at + 1024], add_special_tokens=False)]
+        return out
 
 
 def _pre_tokens(specials: list[str]):
@@ -58,73 +59,128 @@ def _pre_tokens(specials: list[str]):
     return run
 
 
-def _per_document(shared, frequent: int):
+class _Vocabulary(dict):
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(values.tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    """n whole numbers of 32 bits."""
+    return np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * n, asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+
+
+def _strings(tokens: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("t", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch([tokens], ["t"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _read_strings(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
+
+
+def _slices(shared):
+    """Rows (doc_id, text) to slices: the documents' bags of pre-tokens as places in the slice's vocabulary, in order, with their frequencies."""
+
     def run(batches):
+        import xxhash
         from pyspark import TaskContext
 
-        counter = PieceCounter(shared.value)
-        split = _pre_tokens(counter.specials)
-        key = TaskContext.get().partitionId() << 40
+        split = _pre_tokens(PieceCounter(shared.value).specials)
+        number = TaskContext.get().partitionId() << 40
+        vocabulary, ids, sizes, found, size = _Vocabulary(), [], [], [], 0
+
+        def out(kind):
+            n = len(vocabulary)
+            lens = np.array([len(x) for x in found], np.int64)
+            # pre-tokens stand in the order of their hashes, which is the order of the groups
+            hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in vocabulary), np.uint64, n)
+            order = np.argsort(hashes)
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            codes, times = np.unique(np.repeat(np.arange(len(found)), lens) * max(n, 1) + place[np.concatenate([np.zeros(0, np.int32), *found])], return_counts=True)
+            bags = np.bincount(codes // max(n, 1), minlength=len(found))
+            tokens = pa.array(list(vocabulary), pa.string()).take(pa.array(order))
+            cols = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([bags], pa.list_(pa.int32()))]
+            cols += [pa.array([x], pa.binary()) for x in (_packed((codes % max(n, 1)).astype(np.int32)), _packed(times.astype(np.int32)), _strings(tokens), hashes[order].tobytes())]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([n], pa.int64())], ["slice", "ids", "sizes", "bags", "places", "times", "tokens", "hashes", "v"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                freqs, n_bytes, seen = [], [], Counter()
-                for t in part.column(1):
-                    text = t.as_py() or ""
-                    n_bytes.append(len(text.encode()))
-                    freqs.append(f := Counter(split(text)))
-                    seen.update(f.keys())
-                here = {t for t, n in seen.items() if n >= frequent}
-                counter.learn(list(here))
-                local, tokens, times, ends = [], [], [], [0]
-                for f in freqs:
-                    total = 0
-                    for t, n in f.items():
-                        if t in here:
-                            total += n * counter[t]
-                        else:
-                            tokens.append(t)
-                            times.append(n)
-                    local.append(total)
-                    ends.append(len(tokens))
-                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(times, pa.int32())], ["t", "n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(range(key, key + part.num_rows), pa.int64()), part.column(0), pa.array(n_bytes, pa.int64()), pa.array(local, pa.int64()), rest], ["key", "doc_id", "n_bytes", "here", "rest"])
-                key += part.num_rows
+            kind = batch.column(0).type
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = t.as_py() or ""
+                ids.append(doc), sizes.append(len(text.encode()))
+                words = split(text)
+                found.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+                size += len(words)
+                if size >= SLICE or len(vocabulary) >= SLICE_WORDS:
+                    yield out(kind)
+                    number, size = number + 1, 0
+                    for x in (vocabulary, ids, sizes, found):
+                        x.clear()
+        if ids:
+            yield out(kind)
 
     return run
 
 
-def _count_pieces(shared):
+def _ask(groups: int):
     def run(batches):
-        counter = PieceCounter(shared.value)
-        for batch in batches:
-            tokens = pc.dictionary_encode(batch.column(0))
-            distinct = tokens.dictionary.to_pylist()
-            counter.learn(distinct)
-            if any(t not in counter for t in distinct):  # the memory was emptied before these
-                counter.learn(distinct)
-            each = pa.array([counter[t] for t in distinct], pa.int64()).take(tokens.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pc.multiply(each, batch.column(2).cast(pa.int64()))], ["key", "n"])
+        for row in rows_of(batches):
+            tokens = _read_strings(row["tokens"])
+            cuts = np.searchsorted(group_of(np.frombuffer(row["hashes"], np.uint64), groups), np.arange(groups + 1))
+            yield letters([(ASK, g, row["slice"], int(b - a), 0, (_strings(tokens.slice(a, b - a)),)) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, frequent: int = FREQUENT) -> DataFrame:
+def _count(shared):
+    """The number of pieces of each distinct pre-token of a group, told to every slice that asks."""
+
+    def run(at: int, by: dict) -> list[tuple]:
+        coded = pc.dictionary_encode(pa.chunked_array([_read_strings(r["parts"][0]) for r in by[ASK]]).combine_chunks())
+        each = PieceCounter(shared.value).count(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ends = np.cumsum([r["n"] for r in by[ASK]])[:-1]
+        return [(ANSWER, r["of"], at, r["n"], 0, (_packed(x),)) for r, x in zip(by[ASK], np.split(each, ends), strict=True)]
+
+    return run
+
+
+def _sum(left: pa.Table, right: pa.Table) -> pa.Table:
+    row = left.to_pylist()[0]
+    answers = sorted(right.to_pylist(), key=lambda r: r["of"])
+    each = np.concatenate([np.zeros(0, np.int32), *(_unpacked(r["parts"][0], r["n"]) for r in answers)]).astype(np.int64)
+    lens = np.array(row["bags"], np.int64)
+    n = int(lens.sum())
+    pieces = each[_unpacked(row["places"], n)] * _unpacked(row["times"], n)
+    ends = np.concatenate([[0], np.cumsum(pieces)])[np.concatenate([[0], np.cumsum(lens)])]
+    kind = left.schema.field("ids").type.value_type
+    return pa.table([pa.array(row["ids"], kind), pa.array(row["sizes"], pa.int64()), pa.array(np.diff(ends), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text), as the tokenizer file at `path` counts.
 
-    Every text becomes a bag of pre-tokens in one pass. Pre-tokens that at least `frequent` documents of a batch of 2,000 share
-    are counted there and then, once a task; so what is left of any pre-token is a few rows a batch, however common it is, and
-    these rows meet by pre-token in one shuffle, where each distinct one is counted once and its number joined to the rows.
-    Numbers of pieces, never ids, are summed per document. Null texts are empty; rows repeat as they came (they are kept apart
-    by a key of this table, not by doc_id); null ids stay null; other columns are not read; an empty table gives no rows.
+    Every text becomes a bag of pre-tokens. Each distinct pre-token of a slice (about SLICE pre-tokens) goes to its group once, is
+    counted there once for the whole corpus, and its number comes back to the bags: a pre-token that all documents share costs
+    one entry a slice. Numbers of pieces, never ids, are summed per document. Null texts are empty; rows repeat as they came; null ids
+    stay null; other columns are not read; an empty table gives no rows.
     """
     import public_tokenizers as public
 
     with open(path or public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(docs.dtypes)["doc_id"]
-    bags = materialise(docs.select("doc_id", "text").mapInArrow(_per_document(shared, frequent), f"key long, doc_id {kind}, n_bytes long, here long, rest array<struct<t:string,n:int>>"), "bags")
-    rest = bags.select("key", F.explode("rest").alias("r")).select("r.t", "key", "r.n")
-    counted = rest.repartition("t").mapInArrow(_count_pieces(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    out = bags.select("key", "doc_id", "n_bytes", "here").join(counted, "key", "left").withColumn("n_tokens", F.col("here") + F.coalesce("n", F.lit(0)))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    schema = f"slice long, ids array<{kind}>, sizes array<long>, bags array<int>, places binary, times binary, tokens binary, hashes binary, v long"
+    slices = materialise(docs.select("doc_id", "text").mapInArrow(_slices(shared), schema), "bags")
+    groups = max(1, -(-(slices.agg(F.sum("v")).first()[0] or 0) // group))
+    answers = materialise(grouped(slices.mapInArrow(_ask(groups), LETTERS), _count(shared)), "pieces")
+    bags = slices.select("slice", "ids", "sizes", "bags", "places", "times")
+    out = bags.groupBy("slice").cogroup(answers.groupBy("at")).applyInArrow(_sum, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
