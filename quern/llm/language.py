@@ -64,8 +64,9 @@ def mixture(p: np.ndarray, c: np.ndarray, rounds: int = 12) -> tuple[np.ndarray,
     return w, float(c @ np.log(p @ w))
 
 
-def infer(raw: bytes, probs: np.ndarray, logs: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The shares of all languages in a text; zero for those that are not selected.
+def infer(raw: bytes, probs: np.ndarray, logs: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
+    """The shares of all languages in a text, zero for those that are not selected; the shares before the penalty; and the
+    log-likelihood above that of noise, which has all buckets alike.
 
     The likeliest single language starts the set. The free mixture bounds what others can add; where that beats the penalty,
     languages join in the order of their free shares while the penalised likelihood rises.
@@ -76,8 +77,9 @@ def infer(raw: bytes, probs: np.ndarray, logs: np.ndarray, penalty: float = PENA
     single = c @ logs[at]
     best = int(single.argmax())
     price = penalty * np.log(c.sum() + 1)
+    free, reach = mixture(p, c)
+    fit = float(reach + c.sum() * np.log(len(probs)))
     if probs.shape[1] > 1:
-        free, reach = mixture(p, c)
         if reach - single[best] > price:
             chosen, value, shares = [best], float(single[best]), np.ones(1)
             for k in np.argsort(-free):
@@ -88,13 +90,13 @@ def infer(raw: bytes, probs: np.ndarray, logs: np.ndarray, penalty: float = PENA
                     break
                 chosen, value, shares = [*chosen, int(k)], ll - price, w
             out[chosen] = shares
-            return out
+            return out, free, fit
     out[best] = 1.0
-    return out
+    return out, free, fit
 
 
 def _predict(shared):
-    @F.arrow_udf("struct<lang:string,score:double,langs:array<string>,shares:array<double>>")
+    @F.arrow_udf("struct<lang:string,score:double,langs:array<string>,shares:array<double>,fit:double>")
     def predict(texts: pa.Array) -> pa.Array:
         import regex
 
@@ -104,18 +106,18 @@ def _predict(shared):
         for t in texts:
             text = t.as_py()
             if not langs or not text or not letter(text):
-                out.append({"lang": "und", "score": 0.0, "langs": [], "shares": []})
+                out.append({"lang": "und", "score": 0.0, "langs": [], "shares": [], "fit": None})
                 continue
-            w = infer(_normal(text), probs, logs)
+            w, free, fit = infer(_normal(text), probs, logs)
             order = [k for k in np.argsort(-w, kind="stable") if w[k] > 0]
-            out.append({"lang": langs[order[0]], "score": float(min(1.0, w[order[0]])), "langs": [langs[k] for k in order], "shares": [float(w[k]) for k in order]})
-        return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))]))
+            out.append({"lang": langs[order[0]], "score": float(min(1.0, free[order[0]])), "langs": [langs[k] for k in order], "shares": [float(w[k]) for k in order], "fit": fit})
+        return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64())), ("fit", pa.float64())]))
 
     return predict
 
 
 def with_language(docs: DataFrame, train: DataFrame, into: str = "_lang") -> DataFrame:
-    """docs with a struct column `into` (lang, score, langs, shares), learnt from train (lang, text)."""
+    """docs with a struct column `into` (lang, score, langs, shares, fit), learnt from train (lang, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(train))
     return docs.withColumn(into, _predict(shared)(F.col("text")))
 
@@ -124,7 +126,8 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_langs and langs of every row of docs (doc_id, text, lang).
 
     Learns from rows whose crc32(doc_id as text) mod `folds` is not `held` and whose lang and text are not null; rows with a
-    null doc_id are never held out. lang_pred is the language with the largest share, score that share; `und` and 0 where the
+    null doc_id are never held out. lang_pred is the language with the largest share, score its share before
+    other languages are held to the penalty (so ordinary texts differ in it); `und` and 0 where the
     text is null or has no letter, or nothing could be learnt. Texts are read whole; repeated rows are rows; other columns are
     not read; an empty table gives no rows.
     """
@@ -133,8 +136,12 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"), F.size("_lang.langs").cast("long").alias("n_langs"), F.array_join("_lang.langs", ",").alias("langs"))
 
 
-def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """The rows of docs whose language could be told (not `und`), columns as they were, whatever their names."""
+def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2, noise: float = 5.0) -> DataFrame:
+    """The rows of docs whose language could be told, columns as they were, whatever their names.
+
+    Not told: texts without a letter, and texts that noise explains better than the best mixture of the learnt languages, by
+    `noise` of log-likelihood or more. Where nothing can be learnt, no text is told.
+    """
     d, unpack = packed(docs, "doc_id", "text", "lang")
     train = d.where(id_crc_mod(F.col("doc_id"), folds) != held)
-    return unpack(with_language(d, train).where(F.col("_lang.lang") != "und"))
+    return unpack(with_language(d, train).where((F.col("_lang.lang") != "und") & (F.col("_lang.fit") > -noise)))

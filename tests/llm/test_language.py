@@ -32,9 +32,13 @@ def test_mixture_finds_both_languages():
     one, two = b"the cat and the dog ran over the hill " * 20, "le chat et le chien sur la colline ".encode() * 20
     counts = np.stack([np.bincount(G.buckets(x), minlength=G.BUCKETS) for x in (one, two)], axis=1).astype(float)
     p = (counts + 0.5) / (counts + 0.5).sum(axis=0)
-    w = G.infer(one[:300] + two[:300], p, np.log(p))
+    w, free, fit = G.infer(one[:300] + two[:300], p, np.log(p))
     assert (w > 0.3).all() and abs(w.sum() - 1) < 1e-9
-    assert list(G.infer(one[:100], p, np.log(p))) == [1, 0]
+    assert (free > 0.3).all() and fit > 0
+    w, free, fit = G.infer(one[:100], p, np.log(p))
+    assert list(w) == [1, 0] and 0.5 < free[0] <= 1 and fit > 0
+    # trigrams that neither language has are explained worse than by noise
+    assert G.infer(b"zqxj 8#vk" * 20, p, np.log(p))[2] < 0
 
 
 def test_em_against_plain_loops():
@@ -47,6 +51,40 @@ def test_em_against_plain_loops():
     assert np.allclose(G.mixture(p, c)[0], w)
 
 
+def told(rows):
+    """ids of (doc_id, text, lang) whose letters are there and whose trigrams noise does not explain far better than the languages, by plain loops."""
+    import re
+
+    langs = sorted({r[2] for r in rows if r[2] is not None and r[1] is not None and cases.crc_mod(r[0], 4) != 2})
+    counts = np.zeros((G.BUCKETS, len(langs)))
+    for d, text, lang in rows:
+        if lang is not None and text is not None and cases.crc_mod(d, 4) != 2:
+            counts[:, langs.index(lang)] += np.bincount(G.buckets(text.lower().encode()), minlength=G.BUCKETS)
+    p, out = (counts + 0.5) / (counts + 0.5).sum(axis=0), []
+    for d, text, _ in rows:
+        if langs and text and re.search(r"[^\W\d_]", text):
+            x = G.buckets(text.lower().encode())
+            w = np.full(len(langs), 1 / len(langs))
+            for _ in range(12):
+                w = (w * p[x] / (p[x] @ w)[:, None]).sum(axis=0) / len(x)
+            if (np.log(p[x] @ w) + np.log(G.BUCKETS)).sum() > -5:
+                out.append(d)
+    return sorted(out, key=repr)
+
+
+def test_stage_against_plain_loops(spark, sf):
+    noise = [(10**6 + i, f"{i * 7919 % 99991:x} #{i * 104729 % 999983:o}!", "en", "a", 1) for i in range(9)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(cases.documents(spark, noise))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    kept = sorted((r.doc_id for r in G.keep_identified(docs).collect()), key=repr)
+    assert kept == told(rows) and len(kept) >= 0.97 * (len(rows) - 9)
+
+
+def test_scores_differ(spark, sf):
+    got = [r.score for r in G.language_id(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    assert len(set(got)) > 50
+
+
 def test_stage_and_no_rows(spark):
     docs = cases.crowded(cases.documents(spark))
     kept = G.keep_identified(docs)
