@@ -105,12 +105,18 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     A source's documents are all taken floor(target / source_size) times; the fraction left over is the inclusion probability
     of one more copy, drawn by the cube method: balanced flights in blocks of about `block` documents that hashes deal out,
     then flights among the few undecided of all blocks, level by level, until one small landing per source remains. Draws
-    depend on the rows and seed only, so reruns agree. Null texts and texts without words have size 0; a source without words
+    depend on the rows and seed only, so reruns agree (where over half a block of rows are equal, these are dealt out by their place in
+    the files). Null texts and texts without words have size 0; a source without words
     has target 0. A null source is a source; a null doc_id is an id like any other; repeated rows are drawn one by one; other
     columns are not read; an empty table gives no rows. At most MOST copies of a row are taken.
     """
     words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
-    sizes = materialise(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", "source", "text").alias("order")), "sizes")
+    sizes = materialise(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", "source", "text").alias("order"), F.monotonically_increasing_id().alias("place")), "sizes")
+    bulk = sizes.groupBy("order").agg(F.count("*").alias("_n")).where(F.col("_n") > block // 2).withColumnRenamed("order", "_o")
+    if not bulk.isEmpty():
+        # equal rows in bulk would all be dealt to one block
+        dealt = F.when(F.col("_n").isNotNull(), F.xxhash64("order", "place")).otherwise(F.col("order"))
+        sizes = materialise(sizes.join(bulk, sizes["order"] == bulk["_o"], "left").withColumn("order", dealt).drop("_o", "_n"), "sizes")
     targets = materialise(source_targets(sizes).coalesce(1), "targets")
     t = targets.select(F.col("source").alias("_s"), "n_docs", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)

@@ -20,8 +20,8 @@ def targets(sizes):
         fixed |= {s: 3 * sizes[s] for s in over}
 
 
-def check(docs, rows):
-    out = M.mix(docs).collect()
+def check(docs, rows, **how):
+    out = M.mix(docs, **how).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     assert sorted(((r.doc_id, r.size) for r in out), key=repr) == sorted(((r[0], size(r[1])) for r in rows), key=repr)
     per = defaultdict(int)
@@ -60,6 +60,23 @@ def test_many_levels(spark):
         assert abs(sum(r.copies for r in own) - len(own) * own[0].target / own[0].source_size) <= 3
 
 
+def test_equal_rows_in_bulk(spark):
+    """5,000 equal rows without id or text beside 300 others: no block gets them all."""
+    rows = [(None, None, "en", "a", 1)] * 3000 + [(7, "w w w", "en", "a", 1)] * 2000 + [(100 + i, "w " * (i % 40 + 1), "en", "ab"[i % 2], 1) for i in range(300)]
+    docs = cases.documents(spark, rows)
+    step = M._step
+
+    def watched(level, final, seed):
+        run = step(level, final, seed)
+        return lambda frame: run(frame) if len(frame) <= 300 or final else (_ for _ in ()).throw(AssertionError(len(frame)))
+
+    M._step = watched
+    try:
+        check(docs, rows, block=128)
+    finally:
+        M._step = step
+
+
 def test_flight_keeps_both_totals_and_the_means():
     sizes = [random.Random(2).randint(1, 40) for _ in range(60)]
     mean = [0.0] * 60
