@@ -56,20 +56,40 @@ def tokens(url: str = "url") -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, min_count: int = 8) -> DataFrame:
-    """Rules (rule_id, tokens, verdict, confidence, support) from rows (tokens array<string>, label string or null).
+RULE_SCHEMA = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
+
+
+def classes(baskets: DataFrame, least: float) -> DataFrame:
+    """(token, class) of the tokens met in at least `least` rows of baskets (tokens): tokens that always occur together are one
+    class, named by its first. Rows are told apart by 56 bits of hashes of what they hold, summed per token."""
+    hashes = [F.sum(F.xxhash64("tokens", F.lit(seed)).bitwiseAND(F.lit((1 << 28) - 1))) for seed in (1, 2)]
+    held = baskets.select("tokens", F.explode("tokens").alias("token"))
+    per = held.groupBy("token").agg(F.count("*").alias("n"), hashes[0].alias("h1"), hashes[1].alias("h2")).where(F.col("n") >= least)
+    names = per.groupBy("n", "h1", "h2").agg(F.min("token").alias("class"))
+    return materialise(per.join(names, ["n", "h1", "h2"]).select("token", "class"), "classes")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, min_count: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, tokens, verdict, confidence, support) from rows (tokens array<string>, label string or null), and the
+    tokens' `classes`: a rule's tokens are names of classes, any token of a class will do.
 
     Only rows with a label are transactions. Rules kept: one label to the right, confidence and support at least as given,
     and no shorter rule of the same verdict with as much confidence. Support is a share of the rows, `min_count` rows at
-    least, so the number of surviving combinations does not follow the number of rows.
+    least, so the number of surviving combinations does not follow the number of rows. As a class counts once, rows that share a
+    long url make one item of it, not all combinations of its parts. Names of classes that reach the support, the mean
+    number of tokens over min_support at the utmost, are one literal of the plan.
     """
     label = F.concat(F.lit("label="), F.col("label"))
-    baskets = labelled.where("label is not null and size(tokens) > 0").select(F.concat(F.col("tokens"), F.array(label)).alias("items"))
+    baskets = labelled.where("label is not null and size(tokens) > 0")
     spark = labelled.sparkSession
     n = baskets.count()
     if not n:
-        return spark.createDataFrame([], "rule_id long, tokens array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
+        return spark.createDataFrame([], RULE_SCHEMA), spark.createDataFrame([], "token string, class string")
+    support = min(1.0, max(min_support, min_count / n))
+    known = classes(baskets, support * n - 1e-6)
+    names = [r[0] for r in known.select("class").distinct().collect()]
+    items = F.concat(F.array_intersect("tokens", F.lit(names) if names else F.array().cast("array<string>")), F.array(label))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets.select(items.alias("items")))
     found = model.associationRules.where(F.element_at("consequent", 1).startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
     found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 7, 100).alias("verdict"), "confidence", "support"), "rules")
     a, b = found.alias("a"), found.alias("b")
@@ -77,17 +97,18 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     inside = a.select("tokens", "verdict", "confidence", F.explode("tokens").alias("k")).alias("a").join(b.select("tokens", "verdict", "confidence", F.explode("tokens").alias("k")).alias("b"), "k")
     inside = inside.where("a.verdict = b.verdict and size(b.tokens) < size(a.tokens) and b.confidence >= a.confidence - 1e-9 and size(array_except(b.tokens, a.tokens)) = 0")
     spare = inside.select("a.tokens", "a.verdict").distinct()
-    return materialise(found.join(spare, ["tokens", "verdict"], "left_anti").select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict", "confidence", "support"), "rules")
+    rules = found.join(spare, ["tokens", "verdict"], "left_anti").select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict", "confidence", "support")
+    return materialise(rules, "rules"), known
 
 
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
+def match(sets: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
     """(tokens, verdict, rule_tokens) of the best mined rule for each row of sets (tokens, no repeats) that one fits.
 
-    Inverted index: rules are listed under each of their tokens; a rule fits when it is met under as many tokens as it has.
-    Best: highest confidence, then most tokens, then support, then block.
+    Inverted index: rules are listed under each token of each of their classes; a rule fits when it is met under as many classes as
+    it has. Best: highest confidence, then most classes, then support, then block.
     """
-    index = rules.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("k"))
-    met = sets.select("tokens", F.explode("tokens").alias("k")).join(index, "k").groupBy("tokens", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
+    index = rules.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("class")).join(known, "class")
+    met = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").groupBy("tokens", "rule_id", "need").agg(F.countDistinct("class").alias("n")).where("n = need")
     best = met.join(rules.withColumnRenamed("tokens", "rule_tokens"), "rule_id").groupBy("tokens").agg(F.max(F.struct("confidence", "need", "support", (F.col("verdict") == "block").alias("b"), "verdict", "rule_tokens")).alias("m"))
     return best.select("tokens", F.col("m.verdict").alias("mined_verdict"), F.col("m.rule_tokens").alias("mined_rule"))
 
@@ -96,7 +117,8 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, m
     """page_id, host, path, rule, verdict and mined_rule (tokens; null if none decided) of every row of pages (page_id, url).
 
     A given rule that fits decides (the longest; rule holds its text). The other rows get the verdict of the best mined rule,
-    or allow. Labels to mine from: the given rules' own verdicts and, where given, labels (page_id, label: block or allow).
+    or allow. Labels to mine from: the given rules' own verdicts and, where given, labels (page_id, label: block or allow; block
+    where a page has both).
     A null url, or one without ://, has empty host and path and is allowed. Rows repeat as they came; a null page_id has no
     label of its own; other columns are not read; an empty table gives no rows.
     """
@@ -110,7 +132,7 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, m
         p = p.withColumn("_label", F.lit(None).cast("string"))
     p = materialise(p, "urls")
     mined = mine(p.select("tokens", F.coalesce("given", "_label").alias("label")), min_support, min_confidence)
-    best = match(p.where("given is null").select("tokens").distinct(), mined)
+    best = match(p.where("given is null").select("tokens").distinct(), *mined)
     best = materialise(best, "best").select(F.col("tokens").alias("_t"), "mined_verdict", "mined_rule")
     out = p.join(best, (p.tokens == best["_t"]) & p.given.isNull(), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", "mined_verdict", F.lit("allow")).alias("verdict"), F.when(F.col("given").isNull(), F.col("mined_rule")).alias("mined_rule"))

@@ -44,9 +44,9 @@ def test_mining_and_matching_against_brute_force(spark):
                 if inside and inside.count(v) / (len(sets) - 1) >= least and inside.count(v) / len(inside) >= sure:
                     want[c, v] = inside.count(v) / len(inside)
     want = {(c, v) for (c, v), p in want.items() if not any(v2 == v and set(c2) < set(c) and p2 >= p for (c2, v2), p2 in want.items())}
-    mined = U.mine(df, least, sure)
+    mined, known = U.mine(df, least, sure)
     assert {(tuple(r.tokens), r.verdict) for r in mined.collect()} == want and want
-    met = {tuple(r.tokens): r.mined_verdict for r in U.match(df.select("tokens").distinct(), mined).collect()}
+    met = {tuple(r.tokens): r.mined_verdict for r in U.match(df.select("tokens").distinct(), mined, known).collect()}
     assert met[("a", "b")] == "block" and met[("a", "c")] == "allow" and ("e",) not in met
 
 
@@ -58,6 +58,21 @@ def test_mined_rules_decide(spark):
     assert all(r.verdict == ("allow" if r.page_id < 60 else "block") for r in got) and all(r.mined_rule for r in got)
 
 
+def test_urls_of_forty_parts_in_bulk(spark):
+    """Equal long urls are one item; a page with any of their parts meets the rule, and labels that contradict count as block."""
+    deep = "https://deep.example/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    rows = [(i, deep) for i in range(40)] + [(i, f"https://good.example/x/{i}") for i in range(40, 80)] + [(100, "https://elsewhere.example/" + "z/" * 8 + "partaa"), (101, deep)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.where("page_id < 80").select("page_id", F.when(F.col("page_id") < 40, "block").otherwise("allow").alias("label"))
+    labels = labels.unionByName(spark.createDataFrame([(3, "allow"), (101, None)], "page_id long, label string"))
+    tokens = U.tokens()
+    some = U.with_parts(pages).select("page_id", tokens.alias("tokens")).join(labels.where("label is not null"), "page_id")
+    mined, known = U.mine(some, 0.002, 0.9)
+    assert mined.count() < 20 and known.count() > 40
+    got = {r.page_id: r.verdict for r in U.url_filter(pages, labels=labels).collect()}
+    assert all(got[i] == ("block" if i < 40 else "allow") for i in range(80)) and got[101] == "block"
+
+
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for r in U.url_filter(pages).join(pages.select("page_id", "url"), "page_id").collect():
