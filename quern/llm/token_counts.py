@@ -85,11 +85,16 @@ def _read_strings(raw: bytes) -> pa.Array:
     return pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
 
 
+def _hashes(tokens, n: int) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, n)
+
+
 def _slices(shared):
     """Rows (doc_id, text) to slices: the documents' bags of pre-tokens as places in the slice's vocabulary, in order, with their frequencies."""
 
     def run(batches):
-        import xxhash
         from pyspark import TaskContext
 
         split = _pre_tokens(PieceCounter(shared.value).specials)
@@ -100,16 +105,15 @@ def _slices(shared):
             n = len(vocabulary)
             lens = np.array([len(x) for x in found], np.int64)
             # pre-tokens stand in the order of their hashes, which is the order of the groups
-            hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in vocabulary), np.uint64, n)
-            order = np.argsort(hashes)
+            order = np.argsort(_hashes(vocabulary, n))
             place = np.empty(n, np.int64)
             place[order] = np.arange(n)
             codes, times = np.unique(np.repeat(np.arange(len(found)), lens) * max(n, 1) + place[np.concatenate([np.zeros(0, np.int32), *found])], return_counts=True)
             bags = np.bincount(codes // max(n, 1), minlength=len(found))
             tokens = pa.array(list(vocabulary), pa.string()).take(pa.array(order))
             cols = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([bags], pa.list_(pa.int32()))]
-            cols += [pa.array([x], pa.binary()) for x in (_packed((codes % max(n, 1)).astype(np.int32)), _packed(times.astype(np.int32)), _strings(tokens), hashes[order].tobytes())]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([n], pa.int64())], ["slice", "ids", "sizes", "bags", "places", "times", "tokens", "hashes", "v"])
+            cols += [pa.array([x], pa.binary()) for x in (_packed((codes % max(n, 1)).astype(np.int32)), _packed(times.astype(np.int32)), _strings(tokens))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([n], pa.int64())], ["slice", "ids", "sizes", "bags", "places", "times", "tokens", "v"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -134,7 +138,7 @@ def _ask(groups: int):
     def run(batches):
         for row in rows_of(batches):
             tokens = _read_strings(row["tokens"])
-            cuts = np.searchsorted(group_of(np.frombuffer(row["hashes"], np.uint64), groups), np.arange(groups + 1))
+            cuts = np.searchsorted(group_of(_hashes(tokens.to_pylist(), len(tokens)), groups), np.arange(groups + 1))
             yield letters([(ASK, g, row["slice"], int(b - a), 0, (_strings(tokens.slice(a, b - a)),)) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
 
     return run
@@ -177,7 +181,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, gro
     with open(path or public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"slice long, ids array<{kind}>, sizes array<long>, bags array<int>, places binary, times binary, tokens binary, hashes binary, v long"
+    schema = f"slice long, ids array<{kind}>, sizes array<long>, bags array<int>, places binary, times binary, tokens binary, v long"
     slices = materialise(docs.select("doc_id", "text").mapInArrow(_slices(shared), schema), "bags")
     groups = max(1, -(-(slices.agg(F.sum("v")).first()[0] or 0) // group))
     answers = materialise(grouped(slices.mapInArrow(_ask(groups), LETTERS), _count(shared)), "pieces")

@@ -35,7 +35,7 @@ def test_a_slice_names_each_pre_token_once(spark):
     with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     docs = cases.documents(spark, [(i, "the same words here", "en", "a", 1) for i in range(500)]).coalesce(1)
-    rows = docs.select("doc_id", "text").mapInArrow(T._slices(shared), "slice long, ids array<long>, sizes array<long>, bags array<int>, places binary, times binary, tokens binary, hashes binary, v long").collect()
+    rows = docs.select("doc_id", "text").mapInArrow(T._slices(shared), "slice long, ids array<long>, sizes array<long>, bags array<int>, places binary, times binary, tokens binary, v long").collect()
     assert [r.v for r in rows] == [4] and rows[0].bags == [4] * 500
     assert sorted(T._read_strings(bytes(rows[0].tokens)).to_pylist()) == [" here", " same", " words", "the"]
 
