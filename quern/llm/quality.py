@@ -177,11 +177,19 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that `quality_rules` keeps, columns as they were. The counts are made twice, so that no text is shuffled or stored."""
+    """The rows of docs that `quality_rules` keeps, columns as they were.
+
+    The counts are made once: rows that pass the base tests are written with their votes, all votes are written for the model, and the
+    posterior is a filter on what was written.
+    """
     v, names = votes(), docs.columns
-    counts = base_features(docs.select("text")).drop("text")
-    model = fit(counts.select(*(x.cast("byte").alias(f"v_{n}") for n, x in v.items())), list(v))
-    scored = base_features(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names))), f"c{names.index('text')}")
-    # the row number keeps the optimiser from moving the test below the features, where it would be computed over and over
-    scored = scored.withColumn("_row", F.monotonically_increasing_id())
-    return scored.where((F.col("_row") >= 0) & ~_base_failed() & (model.posterior(v) >= threshold)).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    place = {n: f"c{i}" for i, n in enumerate(names)}
+    scored = base_features(docs.select(*(F.col(f"`{n}`").alias(c) for n, c in place.items())), place["text"])
+    cast = [f"v_{n}" for n in v]
+    # the vote pattern of rows that fail the base tests is needed for the model, their columns are not
+    failed = _base_failed()
+    row = F.struct(*(F.col(c) for c in place.values()))
+    voted = materialise(scored.select(*(x.cast("byte").alias(c) for c, x in zip(cast, v.values(), strict=True)), failed.alias("failed"), F.when(~failed, row).alias("row")), "voted")
+    model = fit(voted.select(*cast), list(v))
+    kept = voted.where(~F.col("failed") & (model.posterior({n: F.col(f"v_{n}") for n in v}) >= threshold))
+    return kept.select(*(F.col("row")[c].alias(n) for n, c in place.items()))
