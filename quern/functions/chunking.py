@@ -60,23 +60,28 @@ class _Outline:
 
 def chunk(text: str | None, target: int = TARGET, overlap: int = OVERLAP, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """(seq, pos, length) of a text's chunks, in code points. Blank and null texts have none, short ones have one."""
-    if text is None or not text.strip():
+    if not (text or "").strip():
         return []
-    size = len(text)
-    if size <= target:
-        return [(0, 0, size)]
-    outline, out, start = _Outline(text), [], 0
-    while True:
-        end = size
-        if start + target < size:
-            end = outline.cut(max(start + overlap + 1, start + target - window), start + target, window, size)
-            end = end if end > start else start + target
-        out.append((len(out), start, end - start))
-        if end >= size:
-            return out
-        start = max(end - overlap, start + 1)
-        if outline.fenced(start):
-            start = end
+    size, outline = len(text), None if len(text) <= target else _Outline(text)
+
+    def stop(at: int) -> int:
+        """Where a chunk from `at` ends: at the text's end if that is in reach, else at the best break of the window before the target."""
+        reach = at + target
+        if reach >= size:
+            return size
+        best = outline.cut(max(at + overlap + 1, reach - window), reach, window, size)
+        return best if best > at else reach
+
+    def resume(at: int, end: int) -> int:
+        """Where the next chunk begins: `overlap` before the end of the last, but not inside a fence."""
+        back = max(end - overlap, at + 1)
+        return end if outline.fenced(back) else back
+
+    bounds = [(0, stop(0))]
+    while bounds[-1][1] < size:
+        at = resume(*bounds[-1])
+        bounds.append((at, stop(at)))
+    return [(seq, at, end - at) for seq, (at, end) in enumerate(bounds)]
 
 
 def chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP, window: int = WINDOW) -> Column:

@@ -180,7 +180,7 @@ def scan_scope_filter(spark, sf):
     return documents(spark, sf).where("active").where(F.col("collection").isin("en", "fr")).select("doc_id", "collection", "relpath")
 
 
-@_register("SELECT qid, list_sort(list_filter(c, lambda x: x NOT IN (SELECT lang FROM documents))) AS unknown FROM (SELECT item_id AS qid, ['en', 'zz', 'item' || item_id] AS c FROM benchmark)".replace("x NOT IN (SELECT lang FROM documents)", "x <> 'en'"))
+@_register("WITH c AS (SELECT item_id AS qid, unnest(['en', 'zz', 'item' || item_id]) AS name FROM benchmark), m AS (SELECT qid, name FROM c ANTI JOIN documents d ON d.lang = c.name) SELECT b.item_id AS qid, coalesce(list_sort(list(m.name) FILTER (m.name IS NOT NULL)), []) AS unknown FROM benchmark b LEFT JOIN m ON m.qid = b.item_id GROUP BY b.item_id")
 def unknown_collections(spark, sf):
     asked = questions(spark, sf).withColumn("collections", F.array(F.lit("en"), F.lit("zz"), F.concat(F.lit("item"), F.col("qid").cast("string"))))
     return envelope.unknown_collections(asked, documents(spark, sf).select(F.col("collection").alias("name")).distinct())
@@ -758,9 +758,14 @@ def gen_e2e_corpus(spark, sf):
     return querygen.generated_corpus(spark)
 
 
-@_register("SELECT qid, query FROM (VALUES {}) t(qid, query)".format(", ".join(f"('{a}', '{b}')" for a, b in querygen.nomatch_queries())))
+@_register(f"""WITH h AS (SELECT i, md5('nomatch:' || i) AS h FROM (SELECT unnest(range(800)) AS i)),
+d AS (SELECT i, list_transform(range(8), lambda k: instr('0123456789abcdef', h[k + 1]) - 1) AS x FROM h),
+w AS (SELECT min(i) AS i, word FROM (SELECT i, list_aggregate(list_transform(range(4), lambda k: 'bdfghklmnprstvwz'[x[2 * k + 1] + 1] || 'aeiou'[x[2 * k + 2] % 5 + 1]), 'string_agg', '') AS word FROM d) GROUP BY word),
+free AS (SELECT word, row_number() OVER (ORDER BY i) - 1 AS k FROM w WHERE word NOT IN (SELECT unnest({WORDS_SQL.format('text')}) FROM documents WHERE text IS NOT NULL)),
+q AS (SELECT a.k // 2 AS q, a.word AS a, b.word AS b FROM free a JOIN free b ON b.k = a.k + 1 WHERE a.k % 2 = 0 AND a.k < 200)
+SELECT 'nomatch-' || lpad(q::VARCHAR, 4, '0') AS qid, replace(replace(['parts that supplier @a ships to @b', 'orders of customer @a from the nation @b', 'pages on @a under the host @b', 'what @a told @b in a conversation', 'documents that name both @a and @b'][q % 5 + 1], '@a', a), '@b', b) AS query FROM q""")
 def gen_nomatch(spark, sf):
-    return spark.createDataFrame(querygen.nomatch_queries(), "qid string, query string")
+    return querygen.nomatch_queries(documents(spark, sf))
 
 
 @_register("SELECT doc_id, ['plain', 'terse', 'chatty'][(row_number() OVER (ORDER BY doc_id) - 1) % 3 + 1] AS style, (instr('0123456789abcdef', sha1(doc_id::VARCHAR)[40]) - 1) % 4 AS noise FROM documents".replace("sha1(doc_id::VARCHAR)[40]", "right(sha1(doc_id::VARCHAR), 1)"))

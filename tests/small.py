@@ -1,11 +1,12 @@
 """Small inputs of our own."""
 
 NOTES = {
-    "login.md": "# Signing in\n\nThe gateway checks OAuth tokens before a session starts. Expired tokens are refused and users sign in again.\n",
-    "release.md": "# Release guide\n\nShip to production with rolling restarts. Watch the error rate, then roll back if it rises.\n",
-    "dinner.md": "# Pasta dishes\n\nCarbonara needs eggs, pecorino and guanciale. Stir the eggs off the heat.\n",
+    "tides.md": "# Reading tide tables\n\nHarbour pilots compare the printed tide with the gauge. Spring tides follow the new moon and the full moon.\n",
+    "hives.md": "# Hive inspection\n\nSmoke calms the colony before frames are lifted. Mark the queen and count sealed brood.\n",
+    "glaze.md": "# Mixing a celadon glaze\n\nFeldspar, silica and whiting are sieved twice. Celadon turns green in a reducing kiln.\n",
 }
-MAIL = {"one.txt": "Dinner on Friday?\nI will cook carbonara for everyone.\n"}
+#: Shares a word with one note.
+MAIL = {"one.txt": "Open studio on Sunday?\nWe unload the kiln and the celadon bowls at noon.\n"}
 
 
 def write(root, files):

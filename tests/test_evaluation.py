@@ -145,7 +145,12 @@ def test_chats_and_styles(spark):
     import re
 
     assert re.match(r"^\d{2}/\d{2}/\d{4}, \d{2}:\d{2} - ", rows[1][1])
-    assert len({i for i, _ in G.nomatch_queries()}) == 100 and all("{" not in q for _, q in G.nomatch_queries())
+    words = [r.word for r in G.made_up_words(spark, 6).collect()]
+    bodies = spark.createDataFrame([(f"a text with {words[0]} and {words[3].upper()}.",), (None,)], "body string")
+    asked = G.nomatch_queries(bodies, 7).collect()
+    assert [r.qid for r in sorted(asked)] == [f"nomatch-{i:04d}" for i in range(7)] and all("{" not in r.query for r in asked)
+    used = " ".join(r.query for r in asked).split()
+    assert words[0] not in used and words[3] not in used and {words[1], words[2], words[4], words[5]} <= set(used)
     import hashlib
 
     kinds = spark.createDataFrame([(f"q{i}",) for i in range(20)], "qid string").select("qid", G.noise_kind(F.col("qid")).alias("k")).collect()

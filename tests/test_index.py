@@ -38,11 +38,11 @@ def test_first_index(built):
 
 def test_search_modes(spark, built):
     e = built[0].engine()
-    assert e.search(request(spark, "pasta eggs pecorino", mode="lexical")).orderBy("rank").first().relpath == "dinner.md"
-    assert e.search(request(spark, "rolling restarts production")).orderBy("rank").first().relpath == "release.md"
-    hit = e.search(request(spark, "tokens session users", mode="vector")).orderBy("rank").first()
-    assert hit.relpath == "login.md" and hit.snippet.startswith("# Signing in The gateway") and hit.sources.keys() == {"vector"}
-    assert {r.collection for r in e.search(request(spark, "carbonara", collections=["mail"])).collect()} == {"mail"}
+    assert e.search(request(spark, "glaze feldspar whiting", mode="lexical")).orderBy("rank").first().relpath == "glaze.md"
+    assert e.search(request(spark, "smoke colony frames")).orderBy("rank").first().relpath == "hives.md"
+    hit = e.search(request(spark, "pilots gauge harbour", mode="vector")).orderBy("rank").first()
+    assert hit.relpath == "tides.md" and hit.snippet.startswith("# Reading tide tables Harbour") and hit.sources.keys() == {"vector"}
+    assert {r.collection for r in e.search(request(spark, "celadon", collections=["mail"])).collect()} == {"mail"}
     with pytest.raises(ValueError):
         e.search(request(spark, "x", mode="other"))
     with pytest.raises(ValueError):
@@ -51,7 +51,7 @@ def test_search_modes(spark, built):
 
 def test_a_batch_of_mixed_requests_equals_single_ones(spark, built):
     e = built[0].engine()
-    some = [request(spark, "carbonara eggs", qid="a"), request(spark, "carbonara", qid="b", mode="lexical", limit=1), request(spark, "tokens", qid="c", mode="vector", truncate="knee"), request(spark, "rolling", qid="d", min_score=0.05, collections=["notes"])]
+    some = [request(spark, "celadon feldspar", qid="a"), request(spark, "celadon", qid="b", mode="lexical", limit=1), request(spark, "gauge", qid="c", mode="vector", truncate="knee"), request(spark, "smoke", qid="d", min_score=0.05, collections=["notes"])]
     batch = some[0].unionByName(some[1]).unionByName(some[2]).unionByName(some[3])
     shown = lambda df: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 9), r.snippet) for r in df.collect())
     single = []
@@ -62,9 +62,9 @@ def test_a_batch_of_mixed_requests_equals_single_ones(spark, built):
 
 def test_get(built):
     e = built[0].engine()
-    row = e.get("notes/dinner.md").first()
-    assert row.body == NOTES["dinner.md"] and e.get(f"#{row.docid}").first().doc_id == row.doc_id
-    assert e.get("notes/dinner.md", head=True).first().body == NOTES["dinner.md"].rstrip("\n") and e.get("no/such").count() == 0
+    row = e.get("notes/glaze.md").first()
+    assert row.body == NOTES["glaze.md"] and e.get(f"#{row.docid}").first().doc_id == row.doc_id
+    assert e.get("notes/glaze.md", head=True).first().body == NOTES["glaze.md"].rstrip("\n") and e.get("no/such").count() == 0
 
 
 def test_incremental_index(spark, tmp_path):
@@ -76,14 +76,14 @@ def test_incremental_index(spark, tmp_path):
     before = {r.relpath: r.doc_id for r in index.store.read("documents").collect()}
     import os
 
-    (root / "login.md").write_text("# Signing in\n\nPasskeys replace tokens.\n")
-    os.utime(root / "login.md", (2_000_000_000, 2_000_000_000))
-    (root / "dinner.md").unlink()
+    (root / "tides.md").write_text("# Reading tide tables\n\nBuoys replace pilots.\n")
+    os.utime(root / "tides.md", (2_000_000_000, 2_000_000_000))
+    (root / "glaze.md").unlink()
     assert index.index(recalibrate=False) == {"added": 0, "updated": 1, "removed": 1, "unchanged": 1, "embedded": 1}
     after = {r.relpath: r.doc_id for r in index.store.read("documents").collect()}
-    assert after["release.md"] == before["release.md"] and after["login.md"] not in before.values() and "dinner.md" not in after
-    hits = index.engine().search(request(spark, "passkeys", mode="lexical")).collect()
-    assert [h.relpath for h in hits] == ["login.md"] and index.engine().search(request(spark, "pecorino", mode="lexical")).count() == 0
+    assert after["hives.md"] == before["hives.md"] and after["tides.md"] not in before.values() and "glaze.md" not in after
+    hits = index.engine().search(request(spark, "buoys", mode="lexical")).collect()
+    assert [h.relpath for h in hits] == ["tides.md"] and index.engine().search(request(spark, "whiting", mode="lexical")).count() == 0
     # a lost vector is made again, alone
     v = index.store.read("vectors")
     index.store.write(vectors=v.where(F.col("chunk_id") != v.agg(F.min("chunk_id")).first()[0]))
@@ -108,8 +108,8 @@ def envelope(spark, built, query, floor=None, **more):
 
 
 def test_envelope_of_results(spark, built):
-    x = envelope(spark, built, "carbonara eggs")
-    assert x["status"] == "ok" and x["results"][0]["path"] == "notes/dinner.md" and x["summary"]["confidence"] == "strong"
+    x = envelope(spark, built, "celadon feldspar")
+    assert x["status"] == "ok" and x["results"][0]["path"] == "notes/glaze.md" and x["summary"]["confidence"] == "strong"
     assert x["summary"]["source_mix"]["both"] >= 1 and x["diagnostics"]["filters"]["raw_count"] == x["summary"]["result_count"] == 4
     assert x["next_actions"][0]["intent"] == "inspect_best_match" and x["next_actions"][0]["command"][-1] == x["results"][0]["docid"]
     assert x["diagnostics"]["calibration"] == {"floor_available": False, "floor": None}
@@ -117,14 +117,14 @@ def test_envelope_of_results(spark, built):
 
 
 def test_envelope_without_results(spark, built):
-    x = envelope(spark, built, "carbonara", min_score=999.0)
+    x = envelope(spark, built, "celadon", min_score=999.0)
     assert x["status"] == "no_results" and x["summary"]["confidence"] == "none" and "remove_min_score" in [a["intent"] for a in x["next_actions"]]
     assert x["summary"]["truncation_advice"]["recommendation"] is None
-    x = envelope(spark, built, "carbonara", truncate="abs:2")
+    x = envelope(spark, built, "celadon", truncate="abs:2")
     assert x["summary"]["truncation_advice"]["primary_action"] == "disable_truncation" and "disable_truncation" in [a["intent"] for a in x["next_actions"]]
-    x = envelope(spark, built, "carbonara", collections=["nowhere"])
+    x = envelope(spark, built, "celadon", collections=["nowhere"])
     assert x["diagnostics"]["unknown_collections"] == ["nowhere"] and x["next_actions"][0]["intent"] == "retry_without_scope"
-    x = envelope(spark, built, "carbonara", truncate="calibrated", floor=5.0)
+    x = envelope(spark, built, "celadon", truncate="calibrated", floor=5.0)
     assert x["results"] == [] and x["diagnostics"]["calibration"]["floor"] == 5.0
 
 
@@ -220,9 +220,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("doctor", "--json") == 0 and json.loads(capsys.readouterr().out)["ok"]
     assert run("collection", "add", str(tmp_path / "n"), "--name", "n") == 0 and run("index", "--no-calibrate") == 0
     assert json.loads(capsys.readouterr().out)["added"] == 3
-    assert run("search", "carbonara", "--mode", "lexical", "--files") == 0 and capsys.readouterr().out == "n/dinner.md\n"
-    assert run("search", "carbonara", "--json", "-n", "2") == 0 and json.loads(capsys.readouterr().out)["summary"]["result_count"] == 2
-    assert run("get", "n/login.md", "--head") == 0 and capsys.readouterr().out.startswith("# Signing in")
+    assert run("search", "celadon", "--mode", "lexical", "--files") == 0 and capsys.readouterr().out == "n/glaze.md\n"
+    assert run("search", "celadon", "--json", "-n", "2") == 0 and json.loads(capsys.readouterr().out)["summary"]["result_count"] == 2
+    assert run("get", "n/tides.md", "--head") == 0 and capsys.readouterr().out.startswith("# Reading tide")
     assert run("get", "n/none.md") == 1
     assert run("status") == 0 and "documents  3" in capsys.readouterr().out
     assert run("calibrate", "--sample", "3", "--store") == 0 and "floor" in json.loads(capsys.readouterr().out)
