@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialise, packed
+from quern.llm.common import connected_components, discard, materialise, packed
 
 #: A posting list longer than this is linked through shared midpoints instead of by pairs; results are the same.
 LONG_POSTINGS = 64
@@ -20,6 +20,10 @@ PLACES = 5
 SLOTS = list(combinations(range(8), PLACES))
 #: Shingles in that many texts of a sixteenth of them are put last in a set's order, so many of them at the utmost.
 COMMON_LEAST, COMMON_MOST = 4, 100_000
+#: 64-bit words of the sketch of sought sets.
+SKETCH = 1 << 18
+#: Sets of one group that are compared at a time, shingles in one product, and sets of small groups that are dealt to one bag.
+TILE, COLUMNS, BAG = 1024, 4096, 4096
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int) -> list[int]:
@@ -186,56 +190,180 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def _sets(width: int, seed: int, similarity: float | None = None, common: np.ndarray | None = None):
-    """Rows (doc_id, text) to (doc_id, fp, size, shingles): whole sets, or their prefixes with the `common` shingles, commonest
-    last, at the end of the order."""
+def _ordered(own: np.ndarray, common: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set: its order is that of the hashes, with the `common` shingles, commonest last, at the end."""
+    if len(own) and len(common):
+        i = np.minimum(np.searchsorted(common, own, sorter=place), len(common) - 1)
+        hit = common[place[i]] == own
+        own = own[np.argsort(np.where(hit, 1 + place[i], 0), kind="stable")]
+    return own[: prefix_length(len(own), similarity)]
+
+
+def _prefixes(width: int, seed: int, similarity: float, common: np.ndarray):
+    """Rows (text) to postings (shingle, fp, size, at) of their prefixes, once a task for equal sets."""
 
     def run(batches):
-        place = None if common is None else np.argsort(common)
+        place, seen = np.argsort(common), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
                 keys, sizes, lists = [], [], []
-                for t in part.column(1):
+                for t in batch.column(0).slice(at, 500):
+                    own = shingle_set(t.as_py(), width, seed)
+                    key = _set_key(own)
+                    if len(own) and key not in seen:
+                        if len(seen) >= 1 << 20:
+                            seen.clear()
+                        seen.add(key)
+                        keys.append(key), sizes.append(len(own)), lists.append(_ordered(own, common, place, similarity))
+                lens = [len(x) for x in lists]
+                cols = [np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64), np.repeat(np.array(keys, np.uint64).view(np.int64), lens), np.repeat(np.array(sizes, np.int32), lens)]
+                cols.append(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lens)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "fp", "size", "at"])
+
+    return run
+
+
+def _whole_sets(width: int, seed: int, sketch):
+    """Rows (text) to (fp, shingles) of the sets that the sketch of sought ones may hold; shingles by 32 bits of their hashes."""
+
+    def run(batches):
+        bits, done = sketch.value, set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                keys, lists = [], []
+                for t in batch.column(0).slice(at, 500):
                     own = shingle_set(t.as_py(), width, seed)
-                    keys.append(_set_key(own))
-                    sizes.append(len(own))
-                    if similarity is not None:
-                        if len(own) and len(common):
-                            i = np.minimum(np.searchsorted(common, own, sorter=place), len(common) - 1)
-                            hit = common[place[i]] == own
-                            own = own[np.argsort(np.where(hit, 1 + place[i], 0), kind="stable")]
-                        own = own[: prefix_length(len(own), similarity)]
-                    lists.append(own)
+                    key = _set_key(own)
+                    if len(own) and bits[key >> 6 & SKETCH - 1] >> np.uint64(key & 63) & np.uint64(1) and key not in done:
+                        if len(done) >= 1 << 20:
+                            done.clear()
+                        done.add(key)
+                        keys.append(key), lists.append(np.unique((own >> np.uint64(32)).astype(np.uint32)))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-                flat = np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)
-                rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), rows], ["doc_id", "fp", "size", "shingles"])
+                flat = np.concatenate([np.zeros(0, np.uint32), *lists]).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["fp", "s"])
+
+    return run
+
+
+def _sought_sets(docs: DataFrame, sought: DataFrame, width: int, seed: int) -> DataFrame:
+    """(fp, s) of the sought sets (fp).
+
+    Only these are shuffled: a sketch of fixed size (SKETCH words of 64 bits) tells most of the others apart where the texts
+    are. Where it fills up, it spares less work and loses nothing.
+    """
+    words = sought.groupBy(F.shiftrightunsigned("fp", 6).bitwiseAND(F.lit(SKETCH - 1)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits"))
+    bits = np.zeros(SKETCH, np.uint64)
+    for w, x in words.collect():
+        bits[w] = x % (1 << 64)
+    whole = docs.select("text").mapInArrow(_whole_sets(width, seed, docs.sparkSession.sparkContext.broadcast(bits)), "fp long, s array<int>").join(sought, "fp", "left_semi")
+    return materialise(whole.groupBy("fp").agg(F.first("s").alias("s")), "sets")
+
+
+def linked_sets(sets: list[np.ndarray], similarity: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q), p in left, q in right, of the pairs of sets with that similarity, by products of their incidence, some shingles at a time."""
+    size = np.array([len(x) for x in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = n[code] > 1
+    owner, code = owner[often], np.unique(code[often], return_inverse=True)[1] if often.any() else code[often]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        lo, hi = np.searchsorted(code, [at, at + COLUMNS])
+        sides = []
+        for side, rows in enumerate((left, right)):
+            m = np.zeros((len(rows), COLUMNS), np.float32)
+            own = place[side, owner[lo:hi]]
+            m[own[own >= 0], code[lo:hi][own >= 0] - at] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    return np.nonzero(shared >= similarity * (size[left][:, None] + size[right][None, :] - shared) - 1e-4)
+
+
+def _group_links(similarity: float):
+    """For the sets of some groups and pairs of tiles: each set that links inside, with the first of its class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        from quern.llm.embed_dedup import _join
+
+        table = table.sort_by([("grp", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("fp", "ascending")])
+        fp, side = table.column("fp").to_numpy(), table.column("side").to_numpy()
+        keys = np.stack([table.column(c).to_numpy() for c in ("grp", "lo", "hi")])
+        cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(fp)]])
+        lists = table.column("s").combine_chunks()
+        root = np.arange(len(fp))
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                sets = [lists[int(i)].values.to_numpy() for i in range(a, b)]
+                left, right, own = np.flatnonzero(side[a:b] != 2), np.flatnonzero(side[a:b] != 0), np.arange(b - a)
+                p, q = linked_sets(sets, similarity, left, right)
+                _join(own, left[p], right[q])
+                root[a:b] = own + a
+        met = root != np.arange(len(fp))
+        return pa.table({"a": pa.array(fp[root[met]], pa.int64()), "b": pa.array(fp[met], pa.int64())})
 
     return run
 
 
-def similar_pairs(docs: DataFrame, prints: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
-    """Edges (a, b): all pairs of distinct shingle sets (fp) whose Jaccard similarity is `similarity` or more.
+def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, common: np.ndarray) -> DataFrame:
+    """Edges (a, b) between distinct shingle sets (fp) whose closure links exactly those of a Jaccard similarity of `similarity` or more.
 
-    Two such sets share a shingle among the first of each (`prefix_length`) in any order common to all. Pairs that share one, and
-    whose sizes and places leave room for the overlap, are verified on whole sets; texts without words are one set. `docs` has the texts
-    (doc_id, text), `prints` their prefixes (doc_id, fp, size, shingles).
+    Two such sets share a shingle among the first of each (`prefix_length`) in any order common to all: the texts (doc_id, text)
+    are listed under these shingles. Every set joins the group of the head (least set) it shares most lists with; so near copies
+    come to one group, in tiles of TILE. There all pairs are held against each other by matrix products, and only classes
+    leave. Then the pairs of a list that are in different groups and still in different classes, and whose
+    sizes and places leave room for the overlap, are verified one by one. Texts without words are one set.
     """
-    heads = prints.where("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
-    posts = heads.select("fp", "size", F.posexplode("shingles").alias("at", "shingle"))
-    a, b = (posts.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("fp", "size", "at"))) for k in "ab")
-    need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6)
-    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    from pyspark.sql import Window
+
+    posts = docs.select("text").mapInArrow(_prefixes(width, seed, similarity, common), "shingle long, fp long, size int, at int")
+    by = Window.partitionBy("shingle")
+    lists = posts.withColumn("head", F.min("fp").over(by)).withColumn("most", F.max("fp").over(by)).where("head <> most")
+    lists = materialise(lists.drop("most").distinct(), "lists")
+    votes = lists.groupBy("fp", "head").agg(F.count("*").alias("n")).groupBy("fp").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("m"))
+    members = materialise(votes.select("fp", (-F.col("m.h")).alias("grp")), "members")
+    sets = _sought_sets(docs, members.select("fp"), width, seed)
+
+    bags = max(1, members.count() // BAG)
+    tiles = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    placed = members.join(tiles, "grp").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.when(F.col("t") == F.col("u"), 1).when(F.col("t") < F.col("u"), 0).otherwise(2).cast("byte"))
+    placed = placed.select("grp", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "side", "fp")
+    rows = placed.join(sets, "fp").withColumn("bag", F.when(F.col("hi") == 0, F.pmod(F.xxhash64("grp"), F.lit(bags))).otherwise(F.xxhash64("grp", "lo", "hi")))
+    first = materialise(rows.groupBy("bag").applyInArrow(_group_links(similarity), "a long, b long"), "links")
+
+    known = members.join(connected_components(first), F.col("fp") == F.col("node"), "left").select("fp", "grp", F.coalesce("root", "fp").alias("root"))
+    tagged = lists.drop("head").join(materialise(known, "known"), "fp")
+    mixed = tagged.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo <> hi")
+    # members of one class and group stand together, a thousand at a time, so that only classes are paired
+    parts = mixed.withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.count("*").over(Window.partitionBy("shingle", "root", "grp")) / 1000)))
+    parts = parts.groupBy("shingle", "root", "grp", "part").agg(F.collect_list(F.struct("fp", "size", "at")).alias("m"))
+    one, two = (parts.select("shingle", F.col("root").alias(f"root_{k}"), F.col("grp").alias(f"grp_{k}"), F.col("m").alias(k)) for k in "ab")
+    met = one.join(two, "shingle").where("root_a < root_b and grp_a <> grp_b").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    alike = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
+    need = F.ceil((F.col("a.size") + F.col("b.size")) * F.lit(similarity / (1 + similarity)) - 1e-6)
     # the first shared shingle has no shared one before it, so its places bound the overlap
-    near = materialise(a.join(b, "shingle").where("fp_a < fp_b").where(room >= need).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "near")
-    sought = materialise(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "sought")
-    kind = dict(docs.dtypes)["doc_id"]
-    whole = docs.mapInArrow(_sets(width, seed), f"doc_id {kind}, fp long, size int, shingles array<long>").join(sought, "fp", "left_semi")
-    whole = materialise(whole.groupBy("fp").agg(F.first("shingles").alias("s")), "sets")
-    pairs = near.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    pairs = materialise(met.where(alike & (room >= need)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "pairs")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+    second = materialise(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), "links")
+    discard(lists, members, sets, pairs)
+    return first.unionByName(second)
+
+
+def _shingles(width: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = [shingle_set(t.as_py(), width, seed).view(np.int64) for t in batch.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["shingles"])
+
+    return run
 
 
 def common_shingles(docs: DataFrame, width: int, seed: int) -> np.ndarray:
@@ -243,8 +371,7 @@ def common_shingles(docs: DataFrame, width: int, seed: int) -> np.ndarray:
 
     They only order the sets (boilerplate last), so what the sample misses costs time and loses no pair.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0).mapInArrow(_sets(width, seed), f"doc_id {kind}, fp long, size int, shingles array<long>")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0).select("text").mapInArrow(_shingles(width, seed), "shingles array<long>")
     top = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST)
     return np.array([r.h for r in top.collect()][::-1], np.int64).view(np.uint64)
 
@@ -259,10 +386,9 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     docs, unpack = packed(docs, "doc_id", "text")
     names = docs.columns
     texts = docs.select("doc_id", "text")
-    kind = dict(docs.dtypes)["doc_id"]
     common = common_shingles(texts, width, seed)
-    prints = materialise(texts.mapInArrow(_sets(width, seed, similarity, common), f"doc_id {kind}, fp long, size int, shingles array<long>"), "prefixes")
-    comps = materialise(_grouped(prints, lambda nodes: similar_pairs(texts, prints, similarity, width, seed)), "comps")
+    prints = materialise(texts.select("doc_id", _set_key_udf(width, seed)(F.col("text")).alias("fp")), "keys")
+    comps = materialise(_grouped(prints, lambda nodes: similar_pairs(texts, similarity, width, seed, common)), "comps")
     heads = materialise(prints.join(comps.select("fp", "component_id"), "fp").where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
     # the table of ids grows with the documents: always a shuffle by id, at every size, with the ids as the hashed side
     clear = docs.join(heads.where("doc_id is not null and rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*names)
