@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, materialise
+from quern.llm.common import SPACES, materialise, packed
 
 #: Bits of a packed long that hold a window's place; longer texts skip the packed step.
 PLACE_BITS = 24
@@ -177,19 +177,16 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that `quality_rules` keeps, columns as they were.
+    """The rows of docs (doc_id, text and others) that `quality_rules` keeps, columns as they were.
 
-    The counts are made once: rows that pass the base tests are written with their votes, all votes are written for the model, and the
-    posterior is a filter on what was written.
+    The counts are made once and written as votes beside 128 bits of hashes of doc_id and text, which decide: rows that agree in
+    both share their verdict. The texts meet the hashes that stay in one shuffle, at every size, so that no text is stored.
     """
-    v, names = votes(), docs.columns
-    place = {n: f"c{i}" for i, n in enumerate(names)}
-    scored = base_features(docs.select(*(F.col(f"`{n}`").alias(c) for n, c in place.items())), place["text"])
-    cast = [f"v_{n}" for n in v]
-    # the vote pattern of rows that fail the base tests is needed for the model, their columns are not
-    failed = _base_failed()
-    row = F.struct(*(F.col(c) for c in place.values()))
-    voted = materialise(scored.select(*(x.cast("byte").alias(c) for c, x in zip(cast, v.values(), strict=True)), failed.alias("failed"), F.when(~failed, row).alias("row")), "voted")
-    model = fit(voted.select(*cast), list(v))
-    kept = voted.where(~F.col("failed") & (model.posterior({n: F.col(f"v_{n}") for n in v}) >= threshold))
-    return kept.select(*(F.col("row")[c].alias(n) for n, c in place.items()))
+    v = votes()
+    docs, unpack = packed(docs, "doc_id", "text")
+    keys = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_k2")]
+    scored = base_features(docs.select("text", *keys)).drop("text")
+    voted = materialise(scored.select("_k1", "_k2", *(x.cast("byte").alias(f"v_{n}") for n, x in v.items()), _base_failed().alias("failed")), "votes")
+    model = fit(voted.select(*(f"v_{n}" for n in v)), list(v))
+    kept = voted.where(~F.col("failed") & (model.posterior({n: F.col(f"v_{n}") for n in v}) >= threshold)).select("_k1", "_k2")
+    return unpack(docs.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(kept.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select(*docs.columns))
