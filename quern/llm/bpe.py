@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes that are merged by the definition at once; the halves of anything longer are encoded on their own. In longer windows a heap finds the next merge.
 LEAF, SHORT = 4, 24
 #: Pieces, and halves (up to HALF bytes) and token pairs, that a task remembers; then it starts anew.
-PIECES, MEMORY, HALF = 450_000, 300_000, 8
+PIECES, MEMORY, HALF = 250_000, 150_000, 8
 
 
 #: Above any rank.
