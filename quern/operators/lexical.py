@@ -22,6 +22,10 @@ SNIPPET_TOKENS = 16
 #: Tiers in order.
 TIERS = ("phrase", "and", "or")
 RANK_DIGITS = 9
+#: Terms of a phrase that choose the documents in which the others are looked up.
+RAREST = 2
+#: Terms of a batch of queries up to which tables made of them (some 100 bytes a row) are broadcast; beyond, they are shuffled.
+SMALL_BATCH = 100_000
 
 
 @dataclass(frozen=True)
@@ -83,42 +87,73 @@ def query_phrases(queries: DataFrame, porter: bool = False) -> DataFrame:
     return rows
 
 
-def phrase_frequencies(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
-    """terms, field, doc_id, tf: how often each distinct phrase stands in each field.
+def _near(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
-    Single terms take tf from their posting. For longer phrases the positions of every term, moved back by its place in the
-    phrase, are intersected; only postings of the phrases' own terms are read.
+
+def _small(phrases: DataFrame) -> bool:
+    """Whether a batch asks for at most SMALL_BATCH terms, counted; what is made of them, a row a term at most, may then be broadcast."""
+    return (phrases.agg(F.sum(F.size("terms"))).first()[0] or 0) <= SMALL_BATCH
+
+
+def _together(met: DataFrame, size: str) -> DataFrame:
+    """phrase, field, doc_id, starts where `size` rows (at, positions) met and some start has them all in place."""
+    starts = F.struct("at", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    full = met.groupBy("phrase", "field", "doc_id").agg(F.collect_list(starts).alias("m"), F.first(size).alias("n")).where(F.size("m") == F.col("n"))
+    shared = F.aggregate(F.slice("m", 2, F.size("m")), F.col("m")[0]["starts"], lambda s, x: F.array_intersect(s, x["starts"]))
+    return full.select("phrase", "field", "doc_id", shared.alias("starts")).where(F.size("starts") > 0)
+
+
+def phrase_frequencies(index: LexicalIndex, phrases: DataFrame, small: bool | None = None) -> DataFrame:
+    """phrase, field, doc_id, tf: how often each distinct phrase (`phrase_key` of its terms) stands in each field.
+
+    Single terms take tf from their posting. A longer phrase is looked for by its RAREST terms first: only documents that have
+    these at the right distance are looked up for the rest, so a phrase costs the postings of its rarest terms and not of its
+    commonest. Positions, moved back by a term's place in the phrase, are intersected. small: see `_small`; worked out if None.
     """
-    distinct = phrases.select("terms").distinct()
-    one = distinct.where(F.size("terms") == 1).select("terms", F.col("terms")[0].alias("term"))
-    single = index.postings.join(one, "term").select("terms", "field", "doc_id", "tf")
-    many = distinct.where(F.size("terms") > 1).select("terms", F.posexplode("terms").alias("at", "term"))
-    many = many.withColumn("phrase", F.xxhash64("terms"))
-    # which documents have every term is found without positions; only theirs are read
-    have = index.postings.select("term", "field", "doc_id").join(many.select("term", "phrase", F.size("terms").alias("size")), "term")
-    whole = have.groupBy("phrase", "size", "field", "doc_id").agg(F.count("*").alias("n")).where("n = size").select("phrase", "field", "doc_id")
-    met = whole.join(many, "phrase").join(index.postings.select("term", "field", "doc_id", "positions"), ["term", "field", "doc_id"])
-    met = met.select("terms", "field", "doc_id", F.struct("at", F.transform("positions", lambda p: p - F.col("at")).alias("starts")).alias("m"))
-    full = met.groupBy("terms", "field", "doc_id").agg(F.collect_list("m").alias("m"))
-    starts = F.aggregate(F.slice("m", 2, F.size("m")), F.col("m")[0]["starts"], lambda s, x: F.array_intersect(s, x["starts"]))
-    adjacent = full.select("terms", "field", "doc_id", F.size(starts).cast("long").alias("tf")).where("tf > 0")
-    return single.unionByName(adjacent)
+    small = _small(phrases) if small is None else small
+    distinct = phrases.select("terms").distinct().withColumn("phrase", phrase_key())
+    one = distinct.where(F.size("terms") == 1).select("phrase", F.col("terms")[0].alias("term"))
+    single = index.postings.join(_near(one, small), "term").select("phrase", "field", "doc_id", "tf")
+    many = distinct.where(F.size("terms") > 1).select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
+    common = index.postings.join(_near(many.select("term").distinct(), small), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # a term without postings has df 0: its phrase then finds nothing
+    by_df = Window.partitionBy("phrase").orderBy(F.coalesce("df", F.lit(0)), "at")
+    rare = many.join(common, "term", "left").withColumn("k", F.row_number().over(by_df)).where(F.col("k") <= RAREST)
+    rare = rare.select("phrase", F.least("size", F.lit(RAREST)).alias("few"), "at", "term")
+    postings = index.postings.select("term", "field", "doc_id", "positions")
+    seeds = _together(postings.join(_near(rare, small), "term"), "few").select("phrase", "field", "doc_id")
+    found = _together(seeds.join(_near(many, small), "phrase").join(postings, ["term", "field", "doc_id"]), "size")
+    return single.unionByName(found.select("phrase", "field", "doc_id", F.size("starts").cast("long").alias("tf")))
+
+
+def phrase_key() -> Column:
+    """64 bits of a phrase's terms: short to shuffle and compare. Two of a million phrases of one batch share them once in 3e7 batches."""
+    return F.xxhash64("terms")
 
 
 def bm25(index: LexicalIndex, phrases: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """qid, role, doc_id, raw, matched: BM25 of each query's phrases of each role, and how many of its phrases the document has."""
+    """qid, role, doc_id, raw, matched: BM25 of each query's phrases of each role, and how many of its phrases the document has.
+
+    Frequencies are dealt by document once; fields, lengths and the queries' sums then meet where they are, and a row per query,
+    phrase and document is never shuffled as long as the batch's phrases fit a broadcast.
+    """
+    small = _small(phrases)
     weights = weights or FIELD_WEIGHTS
     weight = F.lit(1.0)
     for field, w in weights.items():
         weight = F.when(F.col("field") == field, F.lit(w)).otherwise(weight)
-    per_doc = phrase_frequencies(index, phrases).groupBy("terms", "doc_id").agg(F.sum(weight * F.col("tf")).alias("f"))
-    df = per_doc.groupBy("terms").agg(F.count("*").alias("n_i"))
-    wanted = phrases.groupBy("qid", "role", "terms").agg(F.count("*").alias("times")).join(df, "terms").crossJoin(index.stats)
+    dealt = phrase_frequencies(index, phrases, small).select("phrase", "doc_id", (weight * F.col("tf")).alias("w")).repartition("doc_id")
+    per_doc = dealt.groupBy("phrase", "doc_id").agg(F.sum("w").alias("f"))
+    # counting f, which is never null, keeps the column, so both uses share one exchange
+    df = per_doc.groupBy("phrase").agg(F.count("f").alias("n_i"))
+    wanted = phrases.groupBy("qid", "role", phrase_key().alias("phrase")).agg(F.count("*").alias("times")).join(df, "phrase").crossJoin(index.stats)
     idf = F.log((F.col("n") - F.col("n_i") + 0.5) / (F.col("n_i") + 0.5))
-    wanted = wanted.select("qid", "role", "terms", "times", "avgdl", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
-    part = F.col("idf") * F.col("times") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = per_doc.join(wanted, "terms").join(index.lengths, "doc_id")
-    return rows.groupBy("qid", "role", "doc_id").agg(F.sum(part).alias("raw"), F.sum("times").alias("matched"))
+    wanted = wanted.select("qid", "role", "phrase", "times", (F.col("times") * F.when(idf > 0, idf).otherwise(LEAST_IDF)).alias("worth"))
+    # what a phrase adds per unit of worth depends on the document alone
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    gains = per_doc.join(index.lengths, "doc_id").crossJoin(index.stats).select("phrase", "doc_id", (F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("gain"))
+    return gains.join(_near(wanted, small), "phrase").groupBy("qid", "role", "doc_id").agg(F.sum(F.col("worth") * F.col("gain")).alias("raw"), F.sum("times").alias("matched"))
 
 
 def squash(raw: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import envelope, fusion, truncate
-from quern.operators.lexical import CANDIDATES, LexicalIndex, match_snippets, search_lexical
+from quern.operators.lexical import CANDIDATES, RANK_DIGITS, LexicalIndex, match_snippets, search_lexical
 from quern.operators.vector import Embedder, chunk_snippets, search_vector
 
 MODES = ("hybrid", "lexical", "vector")
@@ -70,16 +70,16 @@ class Engine:
         rows = lists[0]
         for more in lists[1:]:
             rows = rows.unionByName(more)
-        lead = rows.where("source = 'lexical' and rank = 1").select("qid", F.when(F.col("tier").isin("phrase", "and"), fusion.FULL_MATCH_WEIGHT).otherwise(1.0).alias("lead"))
-        rows = rows.join(requests.select("qid", "mode", "limit"), "qid").join(lead, "qid", "left")
+        # the first lexical result's tier weighs the whole list; a window sees it without computing the lists again
+        full = (F.col("source") == "lexical") & (F.col("rank") == 1) & F.col("tier").isin("phrase", "and")
+        rows = rows.withColumn("lead", F.max(F.when(full, fusion.FULL_MATCH_WEIGHT).otherwise(1.0)).over(Window.partitionBy("qid")))
+        rows = rows.join(requests.select("qid", "mode", "limit"), "qid")
         worth = fusion.contribution(F.col("rank"), F.when(F.col("source") == "lexical", F.col("lead")).otherwise(1.0))
         merged = rows.groupBy("qid", "mode", "limit", "doc_id").agg(
             F.sum(worth).alias("fused"), F.max("score").alias("own"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "score")))).alias("sources"),
             F.min("rank").alias("place"), F.max("tier").alias("tier"), F.max("chunk_id").alias("chunk_id"),
         )
         # one arm keeps its own order, as tiers are not in the order of scores; both arms are in the order of what they add up to
-        from quern.operators.lexical import RANK_DIGITS, Window
-
         hybrid = F.col("mode") == "hybrid"
         order = Window.partitionBy("qid").orderBy(F.when(hybrid, F.lit(0)).otherwise(F.col("place")), F.round("fused", RANK_DIGITS).desc(), "doc_id")
         out = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("limit"))

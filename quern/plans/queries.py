@@ -291,7 +291,7 @@ def bm25_and(spark, sf):
 @_register(f"WITH {TIERS} SELECT qid, doc_id, round(tf, 0)::BIGINT AS tf FROM wtf")
 def phrase_match(spark, sf):
     p = L.query_phrases(questions(spark, sf)).where("role = 'whole'")
-    return p.select("qid", "terms").join(L.phrase_frequencies(body_index(spark, sf), p), "terms").select("qid", "doc_id", "tf")
+    return p.select("qid", L.phrase_key().alias("phrase")).join(L.phrase_frequencies(body_index(spark, sf), p), "phrase").select("qid", "doc_id", "tf")
 
 
 @_register(f"WITH {TIERS} SELECT qid, rank::BIGINT AS rank, doc_id, round(score, 6) AS score, ['phrase', 'and', 'or'][t + 1] AS tier FROM lexl")
@@ -583,7 +583,7 @@ def expected_docs(spark: SparkSession, sf: str) -> DataFrame:
     """qid, type, expected: the first document that holds the passage. Candidates come from the phrase index, then texts are compared."""
     q = questions(spark, sf)
     p = L.query_phrases(q).where("role = 'whole'")
-    near = p.select("qid", "terms").join(L.phrase_frequencies(body_index(spark, sf), p), "terms").select("qid", "doc_id")
+    near = p.select("qid", L.phrase_key().alias("phrase")).join(L.phrase_frequencies(body_index(spark, sf), p), "phrase").select("qid", "doc_id")
     sure = near.join(q, "qid").join(documents(spark, sf).select("doc_id", "body"), "doc_id").where(F.contains("body", "query"))
     kind = F.element_at(F.array(*map(F.lit, querygen.KINDS)), (F.col("qid") % 3).cast("int") + 1)
     return sure.groupBy("qid").agg(F.min("doc_id").alias("expected")).withColumn("type", kind).persist()
