@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import envelope, fusion, truncate
 from quern.operators.lexical import CANDIDATES, RANK_DIGITS, LexicalIndex, match_snippets, search_lexical
-from quern.operators.vector import Embedder, chunk_snippets, search_vector
+from quern.operators.vector import OVERFETCH, Embedder, chunk_snippets, search_vector
 
 MODES = ("hybrid", "lexical", "vector")
 #: Defaults of a request.
@@ -62,11 +62,9 @@ class Engine:
             lists.append(lex.select("qid", F.lit("lexical").alias("source"), "doc_id", "rank", "score", "tier", none.cast("bigint").alias("chunk_id")))
         if modes & {"hybrid", "vector"}:
             wanted = self._with_vectors(requests.where("mode in ('hybrid', 'vector')"))
-            # a list of `limit` documents is taken from the 4 * limit nearest chunks; queries of one limit run together
-            for mode, most in [(r["mode"], r["most"]) for r in wanted.select("mode", wide.alias("most")).distinct().collect()]:
-                some = wanted.where((F.col("mode") == mode) & (wide == most))
-                vec = search_vector(self.vectors, self.chunks, self.documents, some, most, self.prefilter, most * 4)
-                lists.append(vec.select("qid", F.lit("vector").alias("source"), "doc_id", "rank", "score", none.cast("string").alias("tier"), "chunk_id"))
+            # a list of `limit` documents is taken from the nearest chunks, OVERFETCH times as many; all queries run together
+            vec = search_vector(self.vectors, self.chunks, self.documents, wanted, wide, self.prefilter, wide * OVERFETCH)
+            lists.append(vec.select("qid", F.lit("vector").alias("source"), "doc_id", "rank", "score", none.cast("string").alias("tier"), "chunk_id"))
         rows = lists[0]
         for more in lists[1:]:
             rows = rows.unionByName(more)

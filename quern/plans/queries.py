@@ -240,9 +240,15 @@ def content_words(spark, sf):
     return documents(spark, sf).select("doc_id", T.content_words(F.col("body")).alias("words"))
 
 
-@_register("SELECT page_id, p AS path, array_to_string(list_filter(list_transform(string_split(p, '/'), lambda x, i: CASE WHEN i = len(string_split(p, '/')) THEN trim(regexp_replace(regexp_replace(x, '\\.[A-Za-z0-9]+$', ''), '[^\\p{L}\\p{N}$]+', '-', 'g'), '-') || regexp_extract(x, '\\.[A-Za-z0-9]+$') ELSE trim(regexp_replace(x, '[^\\p{L}\\p{N}$]+', '-', 'g'), '-') END), lambda x: x <> ''), '/') AS slug FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages) WHERE p NOT LIKE '%/'")
+SLUG_SQL = r"trim(regexp_replace({}, '[^\p{{L}}\p{{N}}$]+', '-', 'g'), '-')"
+ENDING_SQL = r"'\.[A-Za-z0-9]+$'"
+
+
+@_register(f"""SELECT page_id, path, array_to_string(list_filter(list_transform(parts, lambda x, i: CASE WHEN i < len(parts) THEN {SLUG_SQL.format('x')}
+  ELSE {SLUG_SQL.format(f"regexp_replace(x, {ENDING_SQL}, '')")} || regexp_extract(x, {ENDING_SQL}) END), lambda x: x <> ''), '/') AS slug
+FROM (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages))""")
 def path_slugs(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")).where(~F.col("path").endswith("/"))
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     return p.select("page_id", "path", T.slug_path(F.col("path")).alias("slug"))
 
 
@@ -347,10 +353,16 @@ def knn_exact(spark, sf):
     return V.knn(e, e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), 10).select("qid", "chunk_id", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@_register()
-def knn_lsh(spark, sf):
-    e = vectors(spark, sf)
-    return V.knn_lsh(e, e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), 10).select("qid", "chunk_id", r6("score"), F.col("rank").cast("long").alias("rank"))
+@_once
+def vector_cells(spark: SparkSession, sf: str) -> V.Cells:
+    x = V.build_cells(vectors(spark, sf))
+    return V.Cells(x.vectors.persist(), x.centres, x.angles)
+
+
+@_register(SQL["knn_exact"])
+def knn_cells(spark, sf):
+    found = V.knn_cells(vector_cells(spark, sf), vectors(spark, sf).where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid"), 10)
+    return found.select("qid", "chunk_id", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @_register(f"WITH {VEC} {SHOW} vecl")

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.operators.vector import Cells
+
 SCHEMAS = {
     "collections": "name string, root string, globs array<string>, created_at timestamp",
     "documents": "doc_id bigint, collection string, relpath string, title string, body string, hash string, mtime double, active boolean",
@@ -76,3 +79,15 @@ class Store:
                 for s in self._fs().listStatus(self._path(table)):
                     if s.getPath().getName() != str(now.get(table)):
                         self._fs().delete(s.getPath(), True)
+
+
+def write_cells(index: Cells, path: str) -> None:
+    """Keeps an index of `build_cells`: its vectors in order of cell, so a lookup skips row groups, and a row per cell."""
+    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    rows = [(c, [float(v) for v in centre], float(angle)) for c, (centre, angle) in enumerate(zip(index.centres, index.angles, strict=True))]
+    index.vectors.sparkSession.createDataFrame(rows, "cell int, centre array<double>, angle double").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def read_cells(spark: SparkSession, path: str) -> Cells:
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # MOST_CELLS at most
+    return Cells(spark.read.parquet(f"{path}/vectors"), np.array([r.centre for r in rows]), np.array([r.angle for r in rows]))

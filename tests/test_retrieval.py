@@ -2,12 +2,14 @@ import math
 import sqlite3
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import fusion
 from quern.operators import lexical as L
 from quern.operators import vector as V
+from quern.sources import store
 
 DOCS = [
     (1, "Cats and dogs", "The cat chased the dog. The dog ran to the house.", "pets/a.md"), (2, "Houses", "A house with a red door and a red roof", "home/b.md"), (3, "", "cat cat cat house don't panic", "misc/cat.md"),
@@ -118,28 +120,42 @@ def test_nearest_neighbours(spark):
     assert V.knn(v, q.limit(0), 6).count() == 0
 
 
-def test_buckets_find_most_neighbours(spark):
+@pytest.mark.parametrize("k, cells", [(5, None), (200, None), (6, 1), (6, 150)])
+def test_cells_find_all_neighbours(spark, tmp_path, k, cells):
     x, v = vectors(spark)
-    q = v.where("chunk_id < 40").withColumnRenamed("chunk_id", "qid")
-    exact = {(r.qid, r.chunk_id) for r in V.knn(v, q, 5).where("score > 0.6").collect()}
-    found = {(r.qid, r.chunk_id) for r in V.knn_lsh(v, q, 5).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    q = v.where("chunk_id < 40 or chunk_id >= 900").withColumnRenamed("chunk_id", "qid")
+    index = V.build_cells(v, cells)
+    store.write_cells(index, str(tmp_path / "cells"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    exact = rows(V.knn(v, q, k))
+    assert rows(V.knn_cells(store.read_cells(spark, str(tmp_path / "cells")), q, k)) == exact and len(exact) == 40 * k
 
 
-def test_buckets_find_the_whole_top_ten(spark):
-    """Recall over all of the true ten, however low their cosine, on the given vectors; and no query comes back short."""
+def test_cells_find_the_whole_top_ten(spark):
+    """All of the true ten, however low their cosine, on the given vectors; and no query comes back short."""
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as chunk_id", "embedding")
     q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid")
-    exact, found = ({(r.qid, r.chunk_id) for r in f(v, q, 10).collect()} for f in (V.knn, V.knn_lsh))
-    print("recall", len(exact & found) / len(exact))
-    assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
-
-
-def test_queries_with_few_candidates_are_filled(spark):
-    x, v = vectors(spark)
-    q = v.where("chunk_id < 40").withColumnRenamed("chunk_id", "qid")
-    exact = {(r.qid, r.chunk_id) for r in V.knn(v, q, 200).collect()}
-    assert {(r.qid, r.chunk_id) for r in V.knn_lsh(v, q, 200, bucket=0.01, tables=1).collect()} == exact
+    exact, found = ({(r.qid, r.chunk_id, r["rank"]) for r in f(x, q, 10).collect()} for f, x in ((V.knn, v), (V.knn_cells, V.build_cells(v))))
+    assert found == exact and len(found) == 250
+
+
+def test_cells_skip_what_cannot_reach_the_floor():
+    """Two tight clusters: queries of one never multiply with the other's vectors."""
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    rng = np.random.default_rng(0)
+    x = unit(np.concatenate([np.eye(4)[0] + 0.01 * rng.normal(size=(20, 4)), np.eye(4)[1] + 0.01 * rng.normal(size=(20, 4))]))
+    reach = np.array([[1.0, 0.1]])
+    shared = type("Shared", (), {"value": ([7], x[:1], np.array([0.9]), reach)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(x.tolist()), pa.array([0] * 20 + [1] * 20, pa.int32())], ["chunk_id", "embedding", "cell"])
+    found = [i for b in V._nearest(shared, 30, pa.int64())([batch]) for i in b.column(1).to_pylist()]
+    assert sorted(found) == list(range(20))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, [0.0, 0.0])]])
+def test_cells_of_nothing(spark, rows):
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, embedding array<float>")
+    assert V.knn_cells(V.build_cells(v), q, 3).count() == 0
 
 
 def test_documents_by_best_chunk_and_scope(spark):
