@@ -136,8 +136,12 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Normalised bag-of-words vector: white-space tokens, lower case, counted at md5(token) modulo dim."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda x: x != "")
     places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
-    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda p: p == i)).cast("double"))
-    return normalise(let(places, count))
+    # sorted together with one mark for each place and one beyond, a place's words stand between its mark and the next
+    marks = F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))
+    first = lambda row: F.transform(marks, lambda i: F.array_position(row, i))
+    count = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.get(at, i + 1) - F.get(at, i) - 1).cast("double"))
+    places = let(let(F.sort_array(F.concat(places, marks)), first), count)
+    return normalise(places)
 
 
 def dot(a: Column, b: Column) -> Column:
