@@ -26,6 +26,8 @@ FIRST, BURN_IN, SAMPLES = 3, 1, 3
 MOVES = 16
 #: Tokens and distinct words of a slice, bytes of text taken at a time, entries that one group receives on average.
 SLICE, SLICE_WORDS, CHUNK, GROUP = 1 << 21, 400_000, 1 << 20, 1 << 19
+#: Letters that a slice packs and sends at a time.
+LETTERS_AT_ONCE = 32
 #: A context of over 1 / HOT of all tokens (and of a quarter of a group) has its dishes dealt to all groups. So HOT such contexts at the utmost.
 HOT = 1 << 16
 #: Ids of the context at a text's start and of the end token, in terms of texts that no word has.
@@ -106,26 +108,39 @@ class _Slice:
         self.hashes = np.frombuffer(row["words"], np.uint64)
         self.tokens = np.frombuffer(row["tokens"], np.int32)
         lens = np.array(row["lens"], np.int64)
-        self.piece = np.repeat(np.arange(len(lens)), lens)
+        self.piece = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         self.train = ~np.array(row["held"], bool)[self.piece]
-        previous = np.concatenate([[0], self.tokens[:-1]]).astype(np.int64)
+        previous = np.empty_like(self.tokens)
+        previous[1:] = self.tokens[:-1]
         starts = np.cumsum(lens) - lens
-        previous[starts[lens > 0]] = np.array(row["before"], np.int64)[lens > 0]
+        previous[starts[lens > 0]] = np.array(row["before"], np.int32)[lens > 0]
         self.groups, self.hot, self.previous = groups, hot, previous
 
     def pairs(self):
-        """Left and right word (places) and training count of each distinct pair, their bounds by group, and the pair of each token."""
+        """Left and right word (places) and training count of each distinct pair, their bounds by group, and the pair of each token.
+
+        As np.unique would do it, in 32 bits where these do and with nothing kept longer than needed: two slices are in an executor at a time.
+        """
         n = len(self.hashes)
-        codes, of = np.unique(self.previous * n + self.tokens, return_inverse=True)
-        left, right = codes // n, codes % n
+        codes = self.previous.astype(np.int64) * n + self.tokens
+        by = np.argsort(codes).astype(np.int32)
+        codes = codes[by]
+        new = np.ones(len(codes), bool)
+        np.not_equal(codes[1:], codes[:-1], out=new[1:])
+        codes, of = codes[new], np.empty(len(by), np.int32)
+        of[by] = np.cumsum(new, dtype=np.int32) - 1
+        del by, new
+        left, right = (codes // n).astype(np.int32), (codes % n).astype(np.int32)
+        counts = np.bincount(of[self.train], minlength=len(codes)).astype(np.uint32)
+        del codes
         short = self.hashes >> np.uint64(16)
         split = np.isin(short, self.hot)[left]
         whole = np.where(split, (self.hashes[left] ^ self.hashes[right]) * np.uint64(0x9E3779B97F4A7C15), short[left] << np.uint64(16))
-        group = group_of(whole, self.groups)
-        order = np.argsort(group, kind="stable")
-        counts = np.bincount(of[self.train], minlength=len(codes))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        group = group_of(whole, self.groups).astype(np.int32)
+        del whole, split
+        order = np.argsort(group, kind="stable").astype(np.int32)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         return left[order], right[order], counts[order], np.searchsorted(group[order], np.arange(self.groups + 1)), place[of]
 
 
@@ -135,9 +150,16 @@ def _runs(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(left)))
 
 
+def _one_by_one(batches):
+    """The rows of slices, none held while the next is worked on."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _word_letters(groups: int):
     def run(batches):
-        for row in rows_of(batches):
+        for row in _one_by_one(batches):
             s = _Slice(row, 1, np.zeros(0, np.uint64))
             counts = np.bincount(s.tokens[s.train], minlength=len(s.hashes))
             order = np.argsort(s.hashes)
@@ -150,15 +172,19 @@ def _word_letters(groups: int):
 
 def _pair_letters(groups: int, hot: np.ndarray):
     def run(batches):
-        for row in rows_of(batches):
-            s = _Slice(row, groups, hot)
+        for row in _one_by_one(batches):
+            number, s = row["slice"], _Slice(row, groups, hot)
             left, right, counts, cuts, _ = s.pairs()
+            short = s.hashes >> np.uint64(16)
+            del row, s, _
             out = []
             for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if b > a:
                     at, lens = _runs(left[a:b])
-                    short = s.hashes >> np.uint64(16)
-                    out.append((PAIRS, g, row["slice"], 0, 0, (_pack(short[left[a:b][at]]), lens.astype(np.uint32), _pack(short[right[a:b]]), counts[a:b].astype(np.uint32))))
+                    out.append((PAIRS, g, number, 0, 0, (_pack(short[left[a:b][at]]), lens.astype(np.uint32), _pack(short[right[a:b]]), counts[a:b])))
+                    if len(out) >= LETTERS_AT_ONCE:
+                        yield letters(out)
+                        out.clear()
             yield letters(out)
 
     return run

@@ -156,6 +156,31 @@ def test_sweeps_keep_the_exact_distribution_of_tables():
     assert (served == t).all() and np.abs(got - weight / weight.sum()).max() < 0.03
 
 
+def test_pairs_of_a_slice_in_little_memory():
+    """Two slices of two million tokens are in an executor at a time: a token may cost some tens of bytes, and the pairs are right."""
+    import tracemalloc
+
+    rng, n, v, groups = np.random.default_rng(2), 400_000, 60_000, 20
+    tokens = (rng.pareto(0.6, n) * 50 % v).astype(np.int32)
+    lens = [n // 4, 0, n // 4, n // 2]
+    held, before = [False, False, True, False], [0, 0, 5, 0]
+    hashes = rng.integers(0, 1 << 63, v).astype(np.uint64) * np.uint64(2)
+    row = {"words": hashes.tobytes(), "tokens": tokens.tobytes(), "lens": lens, "held": held, "before": before}
+    hot = np.unique(hashes[:3] >> np.uint64(16))
+    tracemalloc.start()
+    left, right, counts, cuts, pair = P._Slice(row, groups, hot).pairs()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    previous = np.concatenate([[0], tokens[:-1]])
+    previous[[0, n // 4, n // 2]] = [0, 5, 0]
+    assert (left[pair] == previous).all() and (right[pair] == tokens).all()
+    train = np.r_[0 : n // 4, n // 2 : n]
+    want = Counter(zip(previous[train].tolist(), tokens[train].tolist()))
+    assert len(left) == len(set(zip(left.tolist(), right.tolist()))) and cuts[0] == 0 and cuts[-1] == len(left)
+    assert {(a, b): k for a, b, k in zip(left.tolist(), right.tolist(), counts.tolist()) if k} == want
+    assert peak < 60 * n
+
+
 def test_chance_of_sitting_alone_beyond_the_table():
     c = np.array([200, 250, 256])
     assert np.allclose(P.alone(c, np.array([2, 3, 4]), 0.7), 0.7 * np.array([1, 2, 3]) / (c - 1), rtol=0.15)
