@@ -22,8 +22,8 @@ from quern.llm.letters import LETTERS, group_of, grouped, letters, rows_of
 CONTEXT, ROOT = (0.7, 20.0), (0.8, 10.0)
 #: Gibbs sweeps before the root's customers are counted again, sweeps left out after that, and sweeps that are averaged.
 FIRST, BURN_IN, SAMPLES = 3, 1, 3
-#: Customers of one dish in one restaurant that a sweep moves: all of them up to this number, so many drawn at random beyond.
-MOVES = 16
+#: Rounds of a sweep. Every customer moves in one of them; the tables of a restaurant are counted again after each.
+ROUNDS = 16
 #: Tokens and distinct words of a slice, bytes of text taken at a time, entries that one group receives on average.
 SLICE, SLICE_WORDS, CHUNK, GROUP = 1 << 21, 400_000, 1 << 20, 1 << 19
 #: Letters that a slice packs and sends at a time.
@@ -238,7 +238,7 @@ def _hot_words(least: int):
 
 
 @cache
-def _alone(discount: float, size: int = 256) -> np.ndarray:
+def _alone(discount: float, size: int = 1024) -> np.ndarray:
     """Of c customers of a dish at t tables, the chance that a given one sits alone: S(c-1, t-1) / S(c, t), generalised Stirling numbers."""
     logs, out = np.full((size + 1, size + 1), -np.inf), np.zeros((size + 1, size + 1))
     logs[0, 0] = 0.0
@@ -277,26 +277,41 @@ def tables(customers: np.ndarray, parent: np.ndarray, served: np.ndarray, discou
     return t
 
 
-def sweep(c: np.ndarray, t: np.ndarray, of: np.ndarray, served: np.ndarray, parent: np.ndarray, rng, level=CONTEXT, moves: int = MOVES) -> None:
+def sweep(c: np.ndarray, t: np.ndarray, of: np.ndarray, served: np.ndarray, parent: np.ndarray, rng, level=CONTEXT, rounds: int = ROUNDS) -> None:
     """One Gibbs sweep, in place, over dishes with c customers at t tables in restaurants `of` that serve `served` tables in all.
 
     Customers of a dish are alike, so its state is the number of its tables. Each move takes one customer out (the table goes with
-    it if it sat alone) and seats it again given all others. Moves of one round are made together in all dishes, then the
-    restaurants' tables are counted again.
+    it if it sat alone) and seats it again given all others; a sweep makes c moves of every dish, in equal shares per round. A move
+    leaves the number of tables as it is, or one more or less; how many leave it before one does not is geometric, and is drawn
+    at once. So the work grows with the changes, not with the customers, and the moves are those made one by one. Dishes move
+    together in a round, each with its own tables up to date, then the restaurants' tables are counted again.
     """
     discount, strength = level
-    for m in range(moves):
-        live = np.flatnonzero(c > max(m, 1))
-        if not len(live):
-            break
-        cc, tt = c[live], t[live]
-        left = tt - (rng.random(len(live)) < alone(cc, tt, discount))
-        at = of[live]
-        now = served[at] - (tt - left)
-        fresh = (strength + discount * now) * parent[live]
-        new = left + (rng.random(len(live)) < fresh / (fresh + np.maximum(cc - 1 - discount * left, 1e-12)))
-        t[live] = new
-        served += np.bincount(at, new - tt, len(served))
+    some = np.flatnonzero(c > 1)
+
+    def opens(cc, left, others, p):
+        fresh = (strength + discount * (others + left)) * p
+        return fresh / (fresh + np.maximum(cc - 1 - discount * left, 1e-12))
+
+    for m in range(rounds):
+        moves = c[some] * (m + 1) // rounds - c[some] * m // rounds
+        live, moves = some[moves > 0], moves[moves > 0]
+        at, before = of[live], t[live]
+        cc, now, others, p = c[live], before.copy(), served[at] - before, parent[live]
+        on = np.arange(len(live))
+        while len(on):
+            k, n = now[on], cc[on]
+            gone = alone(n, k, discount)
+            less = gone * (1 - opens(n, k - 1, others[on], p[on]))
+            more = (1 - gone) * opens(n, k, others[on], p[on])
+            wait = rng.geometric(np.clip(less + more, 1e-15, 1.0))
+            moves[on] -= np.minimum(wait, moves[on] + 1)
+            changed = moves[on] >= 0
+            up = rng.random(len(on)) * (less + more) < more
+            now[on[changed]] += np.where(up, 1, -1)[changed]
+            on = on[moves[on] > 0]
+        t[live] = now
+        served += np.bincount(at, now - before, len(served))
 
 
 def _customers(at: int, contexts: np.ndarray, of: np.ndarray, words: np.ndarray, dish: np.ndarray, c: np.ndarray, t: np.ndarray, hot: np.ndarray, groups: int) -> list[tuple]:

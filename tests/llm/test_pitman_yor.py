@@ -181,6 +181,28 @@ def test_pairs_of_a_slice_in_little_memory():
     assert peak < 60 * n
 
 
+def test_a_sweep_moves_every_customer_of_a_large_dish():
+    """As many moves as customers, made one by one, from one table: far more than sixteen of them."""
+    (d, s), c, p, n = (0.5, 2.0), 700, 0.08, 3000
+    rng, others = np.random.default_rng(6), 40.0
+    t = np.ones(n, np.int64)
+    for _ in range(c):
+        left = t - (rng.random(n) < P.alone(np.full(n, c), t, d))
+        fresh = (s + d * (others + left)) * p
+        t = left + (rng.random(n) < fresh / (fresh + c - 1 - d * left))
+    got, served = np.ones(n, np.int64), np.full(n, others + 1)
+    P.sweep(np.full(n, c), got, np.arange(n), served, np.full(n, p), rng, (d, s))
+    assert (served == others + got).all() and t.mean() > 2
+    assert abs(got.mean() - t.mean()) < 0.1 and abs(got.std() - t.std()) < 0.1
+
+
+def test_a_very_large_dish_takes_time_by_its_changes():
+    c = np.array([2, 40, 10**12])
+    t, served = np.ones(3, np.int64), np.ones(3)
+    P.sweep(c, t, np.arange(3), served, np.full(3, 1e-4), np.random.default_rng(1))
+    assert ((t >= 1) & (t <= c)).all() and (served == t).all()
+
+
 def test_chance_of_sitting_alone_beyond_the_table():
     c = np.array([200, 250, 256])
     assert np.allclose(P.alone(c, np.array([2, 3, 4]), 0.7), 0.7 * np.array([1, 2, 3]) / (c - 1), rtol=0.15)
