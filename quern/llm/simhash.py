@@ -22,6 +22,8 @@ SLOTS = list(combinations(range(8), PLACES))
 COMMON_LEAST, COMMON_MOST = 4, 100_000
 #: 64-bit words of the sketch of sought sets.
 SKETCH = 1 << 18
+#: A list of shingle sets longer than this, with classes left to compare, is compared in tiles like a group instead of pair by pair; results are the same.
+LONG_LISTS = 64
 #: Sets of one group that are compared at a time, shingles in one product, and sets of small groups that are dealt to one bag.
 TILE, COLUMNS, BAG = 1024, 4096, 4096
 
@@ -309,14 +311,26 @@ def _group_links(similarity: float):
     return run
 
 
+def _tile_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) inside groups of sets, from members (grp, fp): all pairs of a group are compared, in tiles of TILE; only what joins classes leaves."""
+    tiles = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    bags = max(1, members.count() // BAG)
+    placed = members.join(tiles, "grp").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.when(F.col("t") == F.col("u"), 1).when(F.col("t") < F.col("u"), 0).otherwise(2).cast("byte"))
+    placed = placed.select("grp", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "side", "fp")
+    rows = placed.join(sets, "fp").withColumn("bag", F.when(F.col("hi") == 0, F.pmod(F.xxhash64("grp"), F.lit(bags))).otherwise(F.xxhash64("grp", "lo", "hi")))
+    return rows.groupBy("bag").applyInArrow(_group_links(similarity), "a long, b long")
+
+
 def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, common: np.ndarray) -> DataFrame:
     """Edges (a, b) between distinct shingle sets (fp) whose closure links exactly those of a Jaccard similarity of `similarity` or more.
 
     Two such sets share a shingle among the first of each (`prefix_length`) in any order common to all: the texts (doc_id, text)
     are listed under these shingles. Every set joins the group of the head (least set) it shares most lists with; so near copies
     come to one group, in tiles of TILE. There all pairs are held against each other by matrix products, and only classes
-    leave. Then the pairs of a list that are in different groups and still in different classes, and whose
-    sizes and places leave room for the overlap, are verified one by one. Texts without words are one set.
+    leave. What is left are lists with sets of different classes. Those of over LONG_LISTS sets are compared like a group, so
+    that what is written does not grow with the square of a list. Of the others, the pairs in different groups and classes whose
+    sizes and places leave room for the overlap are verified one by one. Texts without words are one set.
     """
     from pyspark.sql import Window
 
@@ -328,20 +342,16 @@ def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, com
     members = materialise(votes.select("fp", (-F.col("m.h")).alias("grp")), "members")
     sets = _sought_sets(docs, members.select("fp"), width, seed)
 
-    bags = max(1, members.count() // BAG)
-    tiles = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = members.join(tiles, "grp").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.when(F.col("t") == F.col("u"), 1).when(F.col("t") < F.col("u"), 0).otherwise(2).cast("byte"))
-    placed = placed.select("grp", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "side", "fp")
-    rows = placed.join(sets, "fp").withColumn("bag", F.when(F.col("hi") == 0, F.pmod(F.xxhash64("grp"), F.lit(bags))).otherwise(F.xxhash64("grp", "lo", "hi")))
-    first = materialise(rows.groupBy("bag").applyInArrow(_group_links(similarity), "a long, b long"), "links")
+    first = materialise(_tile_links(members, sets, similarity), "links")
 
     known = members.join(connected_components(first), F.col("fp") == F.col("node"), "left").select("fp", "grp", F.coalesce("root", "fp").alias("root"))
     tagged = lists.drop("head").join(materialise(known, "known"), "fp")
     mixed = tagged.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo <> hi")
-    # members of one class and group stand together, a thousand at a time, so that only classes are paired
-    parts = mixed.withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.count("*").over(Window.partitionBy("shingle", "root", "grp")) / 1000)))
-    parts = parts.groupBy("shingle", "root", "grp", "part").agg(F.collect_list(F.struct("fp", "size", "at")).alias("m"))
+    mixed = materialise(mixed.withColumn("n", F.count("*").over(by)).drop("lo", "hi"), "mixed")
+    long = materialise(mixed.where(F.col("n") > LONG_LISTS).select(F.col("shingle").alias("grp"), "fp"), "long")
+    third = materialise(_tile_links(long, sets, similarity), "links")
+    # members of one class and group stand together, so that only classes are paired
+    parts = mixed.where(F.col("n") <= LONG_LISTS).groupBy("shingle", "root", "grp").agg(F.collect_list(F.struct("fp", "size", "at")).alias("m"))
     one, two = (parts.select("shingle", F.col("root").alias(f"root_{k}"), F.col("grp").alias(f"grp_{k}"), F.col("m").alias(k)) for k in "ab")
     met = one.join(two, "shingle").where("root_a < root_b and grp_a <> grp_b").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
     alike = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
@@ -352,8 +362,8 @@ def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, com
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     second = materialise(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), "links")
-    discard(lists, members, sets, pairs)
-    return first.unionByName(second)
+    discard(lists, members, sets, mixed, long, pairs)
+    return first.unionByName(second).unionByName(third)
 
 
 def _shingles(width: int, seed: int):

@@ -145,6 +145,39 @@ def test_stage_takes_near_copies_by_five_word_jaccard(spark):
     assert got == expect and len(expect) < len({r[2] for r in want([(r[0], r[1]) for r in rows])})
 
 
+def generated(spark, run):
+    """The result of run, and the most rows that one Generate of its plans made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done = store.executionsList().size()
+    out, most = run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every = store.executionsList()
+    for i in range(done, every.size()):
+        number = every.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                got = values.get(metric.accumulatorId())
+                if node.name() == "Generate" and metric.name() == "number of output rows" and got.isDefined():
+                    most = max(most, int(got.get().replace(",", "")))
+    return out, most
+
+
+def test_long_lists_across_groups_make_no_pairs(spark):
+    """All texts share most words, and each a rarer part with one other: one long list, many groups, links inside and across them."""
+    rng, rows, most = random.Random(12), [], 82
+    body = [f"c{k}" for k in range(most)]
+    for g in range(200):
+        tail = [f"t{g}_{k}" for k in range(rng.choice((8, 10, 12, 14, 16, 18)))]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(body + tail + [f"x{rng.randrange(10**9)}" for _ in range(rng.choice((0, 1, 3)))]), "en", "a", 1))
+    docs = cases.documents(spark, rows)
+    got, made = generated(spark, lambda: sorted(r.doc_id for r in H.keep_one_per_group(docs).collect()))
+    expect = sorted(set(classes([(r[0], shingles(r[1])) for r in rows], alike)))
+    assert got == expect and 10 < len(expect) < 200
+    assert 0 < made <= 64 * len(rows)
+
+
 def test_stage_on_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
