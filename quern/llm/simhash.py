@@ -1,5 +1,5 @@
 """SimHash near-duplicates through an inverted index over byte positions, count filtering and exact verification; and near-duplicates
-by the Jaccard similarity of their shingles, through an index over prefixes of the sets."""
+by the Jaccard similarity of their shingles: the same index gives candidates, one over prefixes of the sets those it misses."""
 
 from __future__ import annotations
 
@@ -44,11 +44,8 @@ def shingle_hashes(words: list[bytes], width: int, seed: int) -> list[int]:
     return [digest(text[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a word sequence: a bit is 1 if it is set in over half the shingles' XXH64; 0 without words."""
-    hashes = shingle_hashes(words, width, seed)
-    if not hashes:
-        return 0
+def simhash(hashes) -> int:
+    """64 bits: a bit is 1 if it is set in over half the hashes; 0 without hashes."""
     total, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, total, 1 << 16):
         block = np.array(hashes[at : at + (1 << 16)], dtype=">u8")
@@ -56,6 +53,11 @@ def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
+def fingerprint_words(words: list[bytes], width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a word sequence: a bit is 1 if it is set in over half the shingles' XXH64; 0 without words."""
+    return simhash(shingle_hashes(words, width, seed))
+
+
 def _fingerprint_udf(width: int, seed: int):
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
@@ -187,6 +189,19 @@ def _set_key_udf(width: int, seed: int):
     return set_key
 
 
+def _set_prints(width: int, seed: int):
+    """Rows (doc_id, text) to (doc_id, fp, sim): the key of a text's set of shingles, and the SimHash of the set."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t.as_py(), width, seed) for t in batch.column(1).slice(at, 500)]
+                cols = [np.array([f(x) for x in sets], np.uint64).view(np.int64) for f in (_set_key, simhash)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), *map(pa.array, cols)], ["doc_id", "fp", "sim"])
+
+    return run
+
+
 def prefix_length(n: int, similarity: float) -> int:
     """How many shingles of n, in an order common to all sets, are sure to hold one of any set of that similarity or more."""
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
@@ -322,10 +337,33 @@ def _tile_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return rows.groupBy("bag").applyInArrow(_group_links(similarity), "a long, b long")
 
 
-def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, common: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets that have the similarity; pairs with an end outside of `sets` have not."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+
+
+def simhash_candidates(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of sets (fp) from prints (fp, sim): the first set of a fingerprint with the others of the same, and with the first ones of fingerprints near it.
+
+    Fingerprints meet in the inverted index over byte positions, pass the count filter and differ in `radius` bits at the utmost.
+    """
+    firsts = materialise(prints.groupBy("sim").agg(F.min("fp").alias("first")), "firsts")
+    near = near_pairs(firsts.select(F.col("sim").alias("fp")), radius)
+    a, b = (firsts.select(F.col("sim").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    near = near.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = prints.join(firsts, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return near.unionByName(same).distinct()
+
+
+def similar_pairs(docs: DataFrame, prints: DataFrame, similarity: float, width: int, seed: int, common: np.ndarray) -> DataFrame:
     """Edges (a, b) between distinct shingle sets (fp) whose closure links exactly those of a Jaccard similarity of `similarity` or more.
 
-    Two such sets share a shingle among the first of each (`prefix_length`) in any order common to all: the texts (doc_id, text)
+    First come the pairs whose SimHashes (prints: fp, sim) are within two bits, as far as their sets have the similarity. Most
+    similar sets have fingerprints further apart, and no radius is sure to hold them; so the rest is found by the sets themselves.
+
+    Two similar sets share a shingle among the first of each (`prefix_length`) in any order common to all: the texts (doc_id, text)
     are listed under these shingles. Every set joins the group of the head (least set) it shares most lists with; so near copies
     come to one group, in tiles of TILE. There all pairs are held against each other by matrix products, and only classes
     leave. What is left are lists with sets of different classes. Those of over LONG_LISTS sets are compared like a group, so
@@ -344,7 +382,11 @@ def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, com
 
     first = materialise(_tile_links(members, sets, similarity), "links")
 
-    known = members.join(connected_components(first), F.col("fp") == F.col("node"), "left").select("fp", "grp", F.coalesce("root", "fp").alias("root"))
+    # equal sets have equal prints; copies are merged before the shuffle
+    own = prints.groupBy("fp").agg(F.min("sim").alias("sim")).join(members, "fp", "left_semi")
+    near = materialise(_verified(simhash_candidates(own), sets, similarity), "near")
+
+    known = members.join(connected_components(first.unionByName(near)), F.col("fp") == F.col("node"), "left").select("fp", "grp", F.coalesce("root", "fp").alias("root"))
     tagged = lists.drop("head").join(materialise(known, "known"), "fp")
     mixed = tagged.withColumn("lo", F.min("root").over(by)).withColumn("hi", F.max("root").over(by)).where("lo <> hi")
     mixed = materialise(mixed.withColumn("n", F.count("*").over(by)).drop("lo", "hi"), "mixed")
@@ -359,11 +401,9 @@ def similar_pairs(docs: DataFrame, similarity: float, width: int, seed: int, com
     # the first shared shingle has no shared one before it, so its places bound the overlap
     room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
     pairs = materialise(met.where(alike & (room >= need)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "pairs")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    second = materialise(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), "links")
+    second = materialise(_verified(pairs, sets, similarity), "links")
     discard(lists, members, sets, mixed, long, pairs)
-    return first.unionByName(second).unionByName(third)
+    return first.unionByName(near).unionByName(second).unionByName(third)
 
 
 def _shingles(width: int, seed: int):
@@ -397,8 +437,8 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     names = docs.columns
     texts = docs.select("doc_id", "text")
     common = common_shingles(texts, width, seed)
-    prints = materialise(texts.select("doc_id", _set_key_udf(width, seed)(F.col("text")).alias("fp")), "keys")
-    comps = materialise(_grouped(prints, lambda nodes: similar_pairs(texts, similarity, width, seed, common)), "comps")
+    prints = materialise(texts.mapInArrow(_set_prints(width, seed), f"doc_id {dict(texts.dtypes)['doc_id']}, fp long, sim long"), "keys")
+    comps = materialise(_grouped(prints, lambda nodes: similar_pairs(texts, prints, similarity, width, seed, common)), "comps")
     heads = materialise(prints.join(comps.select("fp", "component_id"), "fp").where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
     # the table of ids grows with the documents: always a shuffle by id, at every size, with the ids as the hashed side
     clear = docs.join(heads.where("doc_id is not null and rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*names)

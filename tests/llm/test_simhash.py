@@ -178,6 +178,26 @@ def test_long_lists_across_groups_make_no_pairs(spark):
     assert 0 < made <= 64 * len(rows)
 
 
+def test_stage_verifies_what_simhash_finds(spark, monkeypatch):
+    """The stage takes candidates from the index over fingerprints; near ones of unlike sets and unlike ones of near sets come out right."""
+    rng, calls, near_pairs = random.Random(9), [], H.near_pairs
+    monkeypatch.setattr(H, "near_pairs", lambda prints, *a, **k: calls.append(sorted(r.fp for r in prints.collect())) or near_pairs(prints, *a, **k))
+    body = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    short = [f"s{k}" for k in range(40)]
+    texts = [body, [*body[:-1], "other"], [*body, "more"], short, [*short[:20], "x", *short[21:]], ["lone"] * 9]
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in H.keep_one_per_group(cases.documents(spark, rows)).collect())
+    assert got == sorted(set(classes([(r[0], shingles(r[1])) for r in rows], alike))) == [0, 3, 4, 5]
+    assert len(calls) == 1
+    # candidates of given fingerprints: one bit apart, equal, and far
+    sims = {11: 0b1, 12: 0b11, 13: 0b1, 14: -1, 15: -2}
+    cand = H.simhash_candidates(spark.createDataFrame(list(sims.items()), "fp long, sim long"))
+    assert {tuple(sorted(r)) for r in cand.collect()} == {(11, 12), (11, 13), (14, 15)}
+    # and their verification, by sets of five-word shingles
+    sets = spark.createDataFrame([(11, list(range(10))), (12, list(range(1, 10))), (13, list(range(5))), (14, [1]), (16, [1])], "fp long, s array<int>")
+    assert {tuple(sorted(r)) for r in H._verified(cand, sets, 0.8).collect()} == {(11, 12)}
+
+
 def test_stage_on_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
