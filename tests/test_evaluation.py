@@ -180,3 +180,30 @@ def test_registry_has_sql_with_the_same_columns(spark):
 def test_document_frequency_reads_whole_texts(spark):
     d = spark.createDataFrame([(1, "common " * 30_000 + "lastword"), (2, "common lastword")], "doc_id long, body string")
     assert {r.word: r.df for r in G.document_frequency(d).collect()} == {"common": 2, "lastword": 2}
+
+
+def test_common_words_leave_before_words_are_joined(spark):
+    """A word of every document is dropped where it is read; rare words and their counts stay."""
+    d = spark.range(120).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("everywhere"), F.concat(F.lit("half"), F.col("id") % 2), F.concat(F.lit("single"), F.col("id"))).alias("body"))
+    df = G.document_frequency(d, G.READ_CHARS)
+    rows = G._words(d, df, 7, 60)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "Join") < plan.index("LeftAnti")
+    got = sorted((r.doc_id, r.word, r.df) for r in rows.collect())
+    assert got == sorted([(i, f"half{i % 2}", 60) for i in range(120)] + [(i, f"single{i}", 1) for i in range(120)])
+    assert {r.doc_id for r in G.unique_queries(d, df).collect()} == set(range(120))
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_generated_queries_are_those_of_sql(spark, monkeypatch, limit):
+    """With common words broadcast, and with too many for that."""
+    import duckdb
+
+    from quern.plans import queries as Q
+
+    monkeypatch.setattr(G, "COMMON_WORDS", limit)
+    db = duckdb.connect()
+    db.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    for name in ("gen_unique", "gen_vague"):
+        got = sorted((r.doc_id, r.query) for r in Q.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+        assert got == sorted(db.sql(f"select doc_id, query from ({Q.SQL[name]})").fetchall()) and got
