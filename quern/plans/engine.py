@@ -13,6 +13,8 @@ from quern.operators.lexical import CANDIDATES, RANK_DIGITS, LexicalIndex, match
 from quern.operators.vector import OVERFETCH, Embedder, chunk_snippets, search_vector
 
 MODES = ("hybrid", "lexical", "vector")
+#: Results that a batch asks for at most, up to which their ids (16 bytes or so) are broadcast.
+FEW_RESULTS = 1_000_000
 #: Defaults of a request.
 REQUEST = {"mode": "'hybrid'", "collections": "cast(array() as array<string>)", "limit": "10", "min_score": "cast(null as double)", "truncate": "'off'"}
 
@@ -35,13 +37,14 @@ class Engine:
         """queries (qid, query, and any request columns) with defaults for what is missing or null. Raises ValueError for an unknown mode or spec."""
         for name, default in REQUEST.items():
             queries = queries.withColumn(name, F.coalesce(F.col(name), F.expr(default)) if name in queries.columns else F.expr(default))
-        seen = queries.select("mode", "truncate").distinct().collect()  # as many rows as there are settings
+        seen = queries.groupBy("mode", "truncate").agg(F.sum("limit").alias("rows")).collect()  # as many rows as there are settings
         for r in seen:
             if r["mode"] not in MODES:
                 raise ValueError(f"no such mode: {r['mode']}")
             if r["truncate"] != "calibrated":
                 truncate.Spec.parse(r["truncate"])
         self._settings = [(r["mode"], r["truncate"]) for r in seen]
+        self._most = sum(r["rows"] or 0 for r in seen)
         return queries
 
     def _with_vectors(self, queries: DataFrame) -> DataFrame:
@@ -96,10 +99,14 @@ class Engine:
         return after_min, final
 
     def describe(self, final: DataFrame, requests: DataFrame) -> DataFrame:
-        """Results with their document's fields and a snippet; bodies are read for these rows only."""
-        rows = final.join(self.documents.select("doc_id", "collection", "relpath", "title", T.docid(F.col("hash")).alias("docid")), "doc_id")
-        rows = match_snippets(rows, self.documents, requests).withColumnRenamed("snippet", "_match")
-        rows = chunk_snippets(rows, self.chunks, self.documents)
+        """Results with their document's fields and a snippet; titles are worked out and bodies kept for these rows only.
+
+        The ids of a bounded batch's results travel to the documents, so no other document is shuffled."""
+        found = final.select("doc_id").distinct()
+        documents = self.documents.join(F.broadcast(found) if self._most <= FEW_RESULTS else found, "doc_id", "left_semi")
+        rows = final.join(documents.select("doc_id", "collection", "relpath", "title", T.docid(F.col("hash")).alias("docid")), "doc_id")
+        rows = match_snippets(rows, documents, requests).withColumnRenamed("snippet", "_match")
+        rows = chunk_snippets(rows, self.chunks, documents)
         lexical = F.array_contains(F.map_keys("sources"), F.lit("lexical"))
         return rows.withColumn("snippet", F.when(lexical & (F.coalesce("_match", F.lit("")) != ""), F.col("_match")).otherwise(F.coalesce("snippet", F.lit("")))).drop("_match")
 
